@@ -11,14 +11,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import token_ids
+
+    return token_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_token_ids": op3_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
