@@ -38,8 +38,8 @@ HEAD_BYTES = 64
 BLOCK_IDS = 1 << 16
 #: Ids after which a writer begins a new file.
 FILE_IDS = 1 << 22
-#: Space-separated strings that a worker remembers, and the longest.
-KNOWN, LONGEST = 400_000, 64
+#: Pre-tokens that a worker remembers, and the longest.
+KNOWN, LONGEST = 800_000, 64
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -133,40 +133,64 @@ class TokenFile:
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
-    Its pre-token pattern never crosses white space, so a text's ids are those
-    of its space-separated strings in turn; the library encodes each such string
-    once and the worker keeps the ids of short ones. Files for which this
-    doesn't hold are refused."""
+    The library spends most of its time on normalising and splitting a text,
+    and encodes the same pre-tokens again and again. For texts without an added
+    token or a character beyond U+017F (there NFC changes nothing and
+    lower-casing goes character by character) the text is lower-cased and split
+    here, by the file's own pattern, and the library encodes each distinct
+    pre-token once; the worker keeps their ids in a bounded table. Other texts go
+    through the library as they are. Vocabulary files of another build are
+    refused."""
 
     def __init__(self, path: str) -> None:
         import json
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec["pre_tokenizer"].get("pretokenizers", [{}])[0]
-        if split.get("behavior") != "Removed" or not split.get("invert") or "[^\\s" not in split["pattern"].get("Regex", ""):
-            raise ValueError(f"{path}: its pre-tokens may hold white space")
-        if any(" " in t["content"] or "\n" in t["content"] for t in spec["added_tokens"]):
-            raise ValueError(f"{path}: an added token holds white space")
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        split, last = spec["pre_tokenizer"]["pretokenizers"]
+        if steps != ["NFC", "Replace", "Lowercase"] or spec["normalizer"]["normalizers"][1]["content"] != " ":
+            raise ValueError(f"{path}: another normaliser")
+        if split.get("behavior") != "Removed" or not split.get("invert") or last["type"] != "ByteLevel" or last["use_regex"]:
+            raise ValueError(f"{path}: another pre-tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = None
+        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        added = [regex.escape(t["content"]) for t in spec["added_tokens"]]
+        self.odd = regex.compile("|".join([r"[^\x00-\u017F]", *added])).search
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut_up = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        odd = [t is not None and self.odd(t) is not None for t in texts]
+        cut_up = [[] if o else self.find((t or "").lower()) for t, o in zip(texts, odd, strict=True)]
         if len(self.known) > KNOWN:
             self.known = {}
-        known, extra = self.known, {}
-        new = list({w for words in cut_up for w in words if w not in known})
+        known = self.known
+        here = dict.fromkeys(w for words in cut_up for w in words)  # small, so the look-ups below stay in the CPU's cache
+        new = [w for w in here if w not in known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= LONGEST else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut_up]
+            for w, e in zip(part, self.pieces.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                here[w] = ids = np.array(e.ids, "<u4").tobytes()
+                if len(w) <= LONGEST:
+                    known[w] = ids
+        for w, ids in here.items():
+            if ids is None:
+                here[w] = known[w]
+        whole = iter(self.tokenizer.encode_batch([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
+        get = here.__getitem__
+        return [
+            np.array(next(whole).ids, "<u4") if o else np.frombuffer(b"".join(map(get, words)), "<u4")
+            for words, o in zip(cut_up, odd, strict=True)
+        ]
 
 
 @lru_cache(maxsize=4)
