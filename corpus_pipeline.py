@@ -1,19 +1,69 @@
-"""The corpus pipeline: documents through the training-data operators."""
+"""The corpus pipeline: documents through five training-data operators.
+
+Each stage takes what its predecessor kept, written as Parquet and read again,
+and its decisions take effect: the quality classifier drops the documents it
+rejects, line dedup cuts repeated lines out of the texts, SimHash leaves one
+document of each near-duplicate group, decontamination drops documents that hold
+windows of two or more benchmark items and cuts the windows of a single one out, and best-fit
+packing assigns what is left to training sequences.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import simhash
+from pointloom.llm import decontaminate, linecrf, linededup, packing, simhash
+from pointloom.plans.materialize import shared_dir
+from pointloom.session import ship
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return linecrf.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(packing.word_lengths(docs))
+
 
 STAGES = [
-    ("simhash near-dedup", lambda spark, docs, sf_dir: simhash.keep_one(docs)),
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
+
+#: The classifier, the components and the packing have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; stages between are written to the shared folder."""
+    docs = _table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
