@@ -29,6 +29,8 @@ from ..plans.materialize import cut, shared_dir
 
 #: Payload bytes that one record carries; bytes after which an archive is closed; bytes of an HTTP chunk.
 SEGMENT, ARCHIVE, CHUNK = 16 << 10, 8 << 20, 4 << 10
+#: Compressed bytes given to the decompressor at a time.
+FEED = 16 << 10
 #: Payloads of at least so many bytes are written once.
 LEAST_DUPLICATE = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -97,13 +99,19 @@ def response_records(name: str, url: str | None, payload: bytes, page: str, segm
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive, plain or with a gzip member for each."""
-    if data[:2] == b"\x1f\x8b":
-        while data:
-            d = zlib.decompressobj(wbits=31)
-            yield from _plain(d.decompress(data) + d.flush())
-            data = d.unused_data
-    else:
+    if data[:2] != b"\x1f\x8b":
         yield from _plain(data)
+        return
+    at, parts, d = 0, [], zlib.decompressobj(wbits=31)
+    while at < len(data):
+        piece = data[at : at + FEED]
+        parts.append(d.decompress(piece))
+        at += len(piece) - len(d.unused_data)
+        if d.eof:
+            yield from _plain(b"".join(parts))
+            parts, d = [], zlib.decompressobj(wbits=31)
+    if parts:
+        raise ValueError("an archive ends within a record")
 
 
 def _plain(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -257,7 +265,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 )
 
     schema = "name string, kind string, page string, refers string, sha string, number int, total bigint, block binary, size bigint, found string"
-    parts = archives.select("path").mapInPandas(split, schema)
+    # parsed once; blocks are held for segmented records alone
+    parts = cut(archives.select("path").mapInPandas(split, schema))
 
     @F.pandas_udf("struct<size: bigint, found: string>")
     def joined(segments: pd.Series, totals: pd.Series, sha: pd.Series) -> pd.DataFrame:
