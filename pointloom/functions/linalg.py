@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOMENTS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -31,7 +32,10 @@ def matrices(cols: Sequence[pd.Series]) -> np.ndarray:
     return np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
 
 
-@F.pandas_udf("struct<l0: double, l1: double, l2: double, ax: double, ay: double, az: double, bx: double, by: double, bz: double, cx: double, cy: double, cz: double>")
+EIGEN = T.StructType([T.StructField(n, T.DoubleType()) for n in ("l0", "l1", "l2", *(v + a for v in "abc" for a in "xyz"))])
+
+
+@F.pandas_udf(EIGEN)
 def eigen3(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     """Eigenvalues in rising order and their vectors a, b, c."""
     w, v = np.linalg.eigh(np.nan_to_num(matrices((xx, xy, xz, yy, yz, zz))))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Real spherical harmonics constants by degree.
 SH0 = 0.28209479177387814
@@ -192,7 +193,7 @@ def inv_dilog(y: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def expected_point_count(alpha: pd.Series, area: pd.Series) -> pd.Series:
     """Points a splat of peak opacity alpha and area 2 pi sqrt(det) needs for its
     coverage 1 - exp(-lambda) to give the opacity: area / (2 pi) * integral of
