@@ -111,9 +111,9 @@ WINDOWS = (1, 2, 4, 8, 16)
 def _morph(grid: DataFrame, r: int, f) -> DataFrame:
     """Square minimum or maximum over cells with data; two passes, one an axis, on
     ranges of the cell numbers, over the full grid of rows that have data nearby."""
-    shift = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-    one = grid.select((F.col("ix") + shift).alias("ix"), "iy", "z").groupBy("ix", "iy").agg(f("z").alias("z"))
-    return one.select("ix", (F.col("iy") + shift).alias("iy"), "z").groupBy("ix", "iy").agg(f("z").alias("z"))
+    around = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r)).alias(c)
+    one = grid.select(around("ix"), "iy", "z").groupBy("ix", "iy").agg(f("z").alias("z"))
+    return one.select("ix", around("iy"), "z").groupBy("ix", "iy").agg(f("z").alias("z"))
 
 
 def ground(df: DataFrame, cell: float = 1.0, windows=WINDOWS, slope: float = 0.3, first: float = 0.2, most: float = 3.0, final: float = 0.3) -> DataFrame:

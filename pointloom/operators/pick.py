@@ -18,9 +18,9 @@ def to_screen(df: DataFrame, view_projection, width: int, height: int) -> DataFr
 
 def depth_map(screen: DataFrame, radius: int) -> DataFrame:
     """The nearest w over the pixels that each point covers."""
-    s = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    each = screen.select("w", (F.floor("sx").cast("int") + s).alias("px"), F.floor("sy").cast("int").alias("py"))
-    each = each.select("w", "px", (F.col("py") + s).alias("py"))
+    at = screen.select("w", F.floor("sx").cast("int").alias("a"), F.floor("sy").cast("int").alias("b"))
+    each = at.select("w", "b", F.explode(F.expr(f"sequence(a - {radius}, a + {radius})")).alias("px"))
+    each = each.select("w", "px", F.explode(F.expr(f"sequence(b - {radius}, b + {radius})")).alias("py"))
     return each.groupBy("px", "py").agg(F.min("w").alias("front"))
 
 

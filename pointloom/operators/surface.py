@@ -183,10 +183,10 @@ def poisson_surface(df: DataFrame, resolution: int = 32, spacing: float = 1.5, i
     h = side / max(1, resolution - 1 - 2 * math.ceil(padding))
     origin = (lo + hi) / 2 - h * (resolution - 1) / 2
     reach = math.ceil(spacing * 2)
-    s = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     g = df.select("nx", "ny", "nz", *[((F.col(a) - float(o)) / h).alias(f"g{a}") for a, o in zip("xyz", origin, strict=True)])
     for a in "xyz":
-        g = g.withColumn(f"i{a}", F.round(F.col(f"g{a}")).cast("int") + s)
+        at = F.round(F.col(f"g{a}")).cast("int")
+        g = g.withColumn(f"i{a}", F.explode(F.sequence(at - reach, at + reach)))
     d2 = sum(((F.col(f"i{a}") - F.col(f"g{a}")) * (F.col(f"i{a}") - F.col(f"g{a}")) for a in "xyz"), F.lit(0.0))
     w = F.exp(-d2 / (2 * spacing * spacing))
     inside = " AND ".join(f"i{a} >= 0 AND i{a} < {resolution}" for a in "xyz")
