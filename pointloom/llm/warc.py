@@ -215,7 +215,9 @@ def write_archives(pages: DataFrame, out: str, least: int = LEAST_DUPLICATE) ->
     texts = marked.select("page", "url", "digest", "html").withColumn(
         "copy", F.row_number().over(_repeats())
     )
-    responses = texts.join(first, ["page", "url", "digest", "copy"]).select("name", "url", "page", "html")
+    # the number is tested behind the join, which so keeps the window's partitions and moves no text again
+    numbered = first.withColumnRenamed("copy", "which")
+    responses = texts.join(numbered, ["page", "url", "digest"]).where("copy - which = 0").select("name", "url", "page", "html")
     schema = "path string, bytes bigint"
     return cut(
         responses.mapInPandas(_writer(out, "response"), schema).unionByName(
