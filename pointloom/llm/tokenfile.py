@@ -17,9 +17,12 @@ that cover it.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,6 +133,11 @@ class TokenFile:
         return self.ids(start, end)
 
 
+def _class(kind: str) -> str:
+    """The characters up to U+017F of a general category, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
@@ -145,8 +153,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -163,28 +169,37 @@ class Encoder:
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = None
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
-        added = [regex.escape(t["content"]) for t in spec["added_tokens"]]
-        self.odd = regex.compile("|".join([r"[^\x00-\u017F]", *added])).search
+        # up to U+017F the pattern's classes are short lists, and the plain re module is faster with them
+        plain = split["pattern"]["Regex"].replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N"))
+        self.find = re.compile(plain.replace(r"\s", "\t-\r \x85\xa0")).findall
+        self.wide = re.compile(r"[^\x00-\u017F]").search
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
 
+    def odd(self, text: str | None) -> bool:
+        if text is None:
+            return False
+        return any(t in text for t in self.added) or not text.isascii() and self.wide(text) is not None
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        odd = [t is not None and self.odd(t) is not None for t in texts]
+        odd = [self.odd(t) for t in texts]
         cut_up = [[] if o else self.find((t or "").lower()) for t, o in zip(texts, odd, strict=True)]
         if len(self.known) > KNOWN:
             self.known = {}
-        known = self.known
+        known, look = self.known, self.known.get
         here = dict.fromkeys(w for words in cut_up for w in words)  # small, so the look-ups below stay in the CPU's cache
-        new = [w for w in here if w not in known]
+        new = []
+        for w in here:
+            if (ids := look(w)) is None:
+                new.append(w)
+            else:
+                here[w] = ids
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.pieces.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                here[w] = ids = np.array(e.ids, "<u4").tobytes()
+                here[w] = ids = array("I", e.ids).tobytes()
                 if len(w) <= LONGEST:
                     known[w] = ids
-        for w, ids in here.items():
-            if ids is None:
-                here[w] = known[w]
         whole = iter(self.tokenizer.encode_batch([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
         get = here.__getitem__
         return [
@@ -226,8 +241,8 @@ def write_token_files(
         for df in batches:
             texts = df["text"].tolist()
             names = [None if pd.isna(i) else int(i) for i in df["doc_id"].tolist()]
-            for at in range(0, len(texts), 256):
-                for name, found in zip(names[at : at + 256], enc.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), 512):
+                for name, found in zip(names[at : at + 512], enc.encode(texts[at : at + 512]), strict=True):
                     ids.append(name)
                     held.append(np.concatenate([found, end]))
                     n += len(held[-1])
