@@ -25,10 +25,12 @@ def get_spark(app: str = "pointloom", master: str | None = None, shuffle_partiti
 
 
 _SHIPPED: set[str] = set()
+ROWS_KEY, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and
+    let whole texts go to them in batches of ``ROWS`` unless the session says otherwise."""
     import pathlib
     import tempfile
     import zipfile
@@ -36,6 +38,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    if spark.conf.get(ROWS_KEY) == "10000":  # Spark's own default, made for short rows
+        spark.conf.set(ROWS_KEY, str(ROWS))
     root = pathlib.Path(__file__).resolve().parent
     target = pathlib.Path(tempfile.mkdtemp(prefix="pointloom-")) / "pointloom.zip"
     with zipfile.ZipFile(target, "w") as z:
