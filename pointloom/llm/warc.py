@@ -76,7 +76,7 @@ def record(kind: str, name: str, block: bytes, **fields: object) -> bytes:
     head |= {k.replace("_", "-"): v for k, v in fields.items() if v is not None}
     head["Content-Length"] = len(block)
     lines = "".join(f"{k}: {str(v).replace(chr(13), ' ').replace(chr(10), ' ')}\r\n" for k, v in head.items())
-    return gzip.compress(b"WARC/1.1\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress(b"WARC/1.1\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def response_records(name: str, url: str | None, payload: bytes, page: str, segment: int = SEGMENT) -> Iterator[bytes]:
