@@ -33,7 +33,7 @@ FOLDS = 5
 ROUNDS = 150
 L2 = 1e-3
 #: Documents measured together, by characters.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in "#*$%&|<>"]] = 1
