@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written rows, so
-    that lineage stays short and a lost executor costs no recomputation."""
+    that lineage stays short and a lost executor costs no recomputation. With
+    ``release`` the driver's garbage is collected afterwards: Spark deletes the
+    shuffle files of plans that nothing refers to any more, so that the next large
+    step doesn't need disk beside them."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if release:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
+    return kept
