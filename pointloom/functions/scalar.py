@@ -95,9 +95,14 @@ def footprint_area(sxx, sxy, syy) -> Column:
     return 2 * math.pi * F.sqrt(F.greatest(F.lit(0.0), _c(sxx) * _c(syy) - _c(sxy) * _c(sxy)))
 
 
-def pixel_density_scale(spp: int) -> float:
-    """Subpixels a pixel."""
-    return float(spp * spp)
+def pixel_density_scale(depth, focal_x: float, focal_y: float, pixel_length: float, near: float = 0.0) -> Column:
+    """Pixels that a square of ``pixel_length`` covers at a depth, at most 1e12; 0 in
+    front of the near plane or for a bad camera."""
+    d = _c(depth)
+    if not (focal_x > 0 and focal_y > 0 and pixel_length > 0):
+        return F.lit(0.0)
+    ratio = pixel_length / d
+    return F.when(d > max(near, 0.0), F.least(F.lit(1e12), ratio * ratio * focal_x * focal_y)).otherwise(0.0)
 
 
 def alpha_at(opacity, dx, dy, sxx, sxy, syy) -> Column:
@@ -108,12 +113,29 @@ def alpha_at(opacity, dx, dy, sxx, sxy, syy) -> Column:
     return _c(opacity) * F.exp(-0.5 * (c * x * x - 2 * b * x * y + a * y * y) / det)
 
 
-def expected_coverage(lam) -> Column:
-    return 1 - F.exp(-_c(lam))
+def expected_coverage(alpha, pixel_area=1.0) -> Column:
+    """1 - (1 - alpha)^area."""
+    return 1 - F.pow(1 - clamp(alpha, 0.0, 1 - 1e-15), _c(pixel_area))
 
 
-def over(front, front_alpha, back) -> Column:
-    return _c(front) * _c(front_alpha) + _c(back) * (1 - _c(front_alpha))
+def over(front: list, front_alpha, back: list, back_alpha, premultiplied: bool = False) -> list[Column]:
+    """Colour over colour: r, g, b, a."""
+    s, d = clamp(front_alpha), clamp(back_alpha)
+    a = s + d * (1 - s)
+    if premultiplied:
+        return [*[_c(f) + _c(b) * (1 - s) for f, b in zip(front, back, strict=True)], a]
+    return [*[F.when(a > 0, (_c(f) * s + _c(b) * d * (1 - s)) / a).otherwise(0.0) for f, b in zip(front, back, strict=True)], a]
+
+
+def pack_hdr(r, g, b) -> Column:
+    """Linear colour in 11, 11 and 10 bits of log2(c + 1) / 16."""
+    q = [F.floor(clamp(F.log2(F.greatest(F.lit(0.0), _c(c)) + 1) / 16) * n + 0.5).cast("bigint") for c, n in ((r, 2047), (g, 2047), (b, 1023))]
+    return q[0].bitwiseOR(F.shiftleft(q[1], 11)).bitwiseOR(F.shiftleft(q[2], 22))
+
+
+def unpack_hdr(packed) -> list[Column]:
+    p = _c(packed)
+    return [F.pow(F.lit(2.0), F.shiftright(p, s).bitwiseAND(F.lit(n)) / float(n) * 16) - 1 for s, n in ((0, 2047), (11, 2047), (22, 1023))]
 
 
 def tonemap(x, kind: str = "none") -> Column:
@@ -199,3 +221,81 @@ def expected_point_count(alpha: pd.Series, area: pd.Series) -> pd.Series:
     coverage 1 - exp(-lambda) to give the opacity: area / (2 pi) * integral of
     -ln(1 - alpha e^-t), which is the dilogarithm of alpha, times 2 pi."""
     return pd.Series(area.to_numpy() * dilog(np.minimum(alpha.to_numpy(), 1)))
+
+
+@F.pandas_udf(T.DoubleType())
+def dilog_udf(x: pd.Series) -> pd.Series:
+    return pd.Series(dilog(np.minimum(np.maximum(x.to_numpy(float), 0), 1)))
+
+
+TOP_OPACITY = 1 - 1e-12
+
+
+def opacity_term(rule: str, opacity) -> Column:
+    """How a splat's points grow with its opacity: proportional, extinction
+    (-ln(1 - o)) or dilog."""
+    o = F.least(_c(opacity), F.lit(TOP_OPACITY))
+    g = {"proportional": lambda: o, "extinction": lambda: -F.log(1 - o), "dilog": lambda: dilog_udf(o)}[rule]()
+    return F.when(o > 0, g).otherwise(0.0)
+
+
+def calibrated_count(level: str, rule: str, opacity, base: float, density: float, *, object_depth=None, splat_depth=None, area=None, focal=(1.0, 1.0),
+                     pixel_length: float = 1.0, near: float = 0.0, spp: float = 1.0) -> Column:
+    """Expected points: level none (base alone), zoom (one scale for the object's
+    depth), depth (each splat's own), or footprint (subpixels of its area)."""
+    if level == "none":
+        scale = F.lit(base)
+    elif level in ("zoom", "depth"):
+        scale = base * pixel_density_scale(object_depth if level == "zoom" else splat_depth, *focal, pixel_length, near)
+    elif level == "footprint":
+        scale = spp * _c(area)
+    else:
+        raise ValueError(f"unknown level {level}")
+    return F.greatest(F.lit(0.0), max(density, 0.0) * opacity_term(rule, opacity) * scale)
+
+
+def radial_keep_probability(opacity, r2) -> Column:
+    """Share of extinction points to keep at a squared radius so that the rest have the
+    density -ln(1 - o e^(-r2 / 2))."""
+    o = F.least(_c(opacity), F.lit(TOP_OPACITY))
+    y = o * F.exp(-0.5 * F.greatest(F.lit(0.0), _c(r2)))
+    ratio = lambda x: F.when(x < 1e-8, 1 + 0.5 * x).otherwise(-F.log1p(-x) / x)
+    return F.when(o > 0, clamp(ratio(y) / ratio(o))).otherwise(1.0)
+
+
+def footprint_point_count(expected, subpixels: int) -> Column:
+    return F.greatest(F.lit(0.0), _c(expected)) / float(max(1, subpixels) ** 2)
+
+
+def adaptive_footprint(sigma, kappa: float, largest: int) -> Column:
+    """floor(kappa * sigma) within 1 and ``largest``."""
+    if kappa <= 0:
+        return F.lit(1)
+    s = F.floor(kappa * _c(sigma))
+    return F.when(_c(sigma) > 0, F.greatest(F.lit(1), F.least(F.lit(max(1, largest)), s))).otherwise(1).cast("int")
+
+
+def density_clamp(count, sx, sy, sz, depth, focal: float) -> Column:
+    """At most a point for each cube of a pixel's length in the splat's volume."""
+    pixel = _c(depth) / focal
+    return F.least(_c(count), 4 / 3 * math.pi * _c(sx) * _c(sy) * _c(sz) / (pixel * pixel * pixel))
+
+
+def view_conditioned_keep(count, area, opacity, spp: float, density: float) -> Column:
+    """Share of candidates to keep so that those on the screen number what the
+    footprint asks for; 0 for half a candidate or less."""
+    target = spp * _c(area) * dilog_udf(_c(opacity)) * density
+    return F.when(_c(count) > 0.5, clamp(target / _c(count))).otherwise(0.0)
+
+
+def sample_corrected_radius(opacity: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The radius below which a share u of a splat's corrected points lies."""
+    o, u = np.clip(opacity, 0, 1), np.clip(u, 0, 1)
+    y = np.minimum(inv_dilog((1 - u) * dilog(o)), o)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.sqrt(np.maximum(0, -2 * np.log(y / o)))
+    return np.where(o <= 0, 0.0, np.where(y <= 0, 40.0, r))
+
+
+def stochastic_round(lam: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return np.floor(lam).astype(np.int64) + (u < lam - np.floor(lam))

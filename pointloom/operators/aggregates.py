@@ -132,3 +132,61 @@ def frame_stats(particles: DataFrame) -> DataFrame:
     return particles.agg(
         F.count(F.lit(1)).alias("generated"), F.count_if("active").alias("active"), F.count_if(F.col("active") & F.col("drawn")).alias("drawn")
     )
+
+
+def exclusive_scan(df: DataFrame, value: str, order: str = "id", top: int = (1 << 32) - 1) -> DataFrame:
+    """Adds ``offset``: the sum of ``value`` before each row, at most ``top``. Ranges
+    of the order are summed first, so that no task scans all rows."""
+    from pyspark.sql.window import Window
+
+    from ..plans.materialize import cut
+
+    r = cut(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    base, starts = 0, []
+    for row in r.groupBy("__p").agg(F.sum(value).alias("s")).orderBy("__p").collect():  # one row a partition
+        starts.append((row["__p"], base))
+        base += row["s"] or 0
+    s = df.sparkSession.createDataFrame(starts, "__p int, __base bigint")
+    before = F.sum(value).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return r.join(F.broadcast(s), "__p").withColumn("offset", F.least(F.lit(top), F.coalesce(before, F.lit(0)) + F.col("__base"))).drop("__p", "__base")
+
+
+def plane_polygon(df: DataFrame, plane: tuple) -> DataFrame:
+    """Corners of the rectangle in a plane (a, b, c, d) that holds the cloud's
+    projections: (i, x, y, z)."""
+    import numpy as np
+
+    n = np.asarray(plane[:3], float)
+    n = n / np.linalg.norm(n)
+    u = np.cross(n, [1.0, 0, 0] if abs(n[0]) < 0.9 else [0, 1.0, 0])
+    u /= np.linalg.norm(u)
+    v = np.cross(n, u)
+    dot = lambda w: sum((F.col(a) * float(k) for a, k in zip(AXES, w, strict=True)), F.lit(0.0))
+    b = df.agg(F.min(dot(u)).alias("u0"), F.max(dot(u)).alias("u1"), F.min(dot(v)).alias("v0"), F.max(dot(v)).alias("v1")).first()
+    rows = []
+    if b["u0"] is not None:
+        for i, (s, t) in enumerate(((b["u0"], b["v0"]), (b["u1"], b["v0"]), (b["u1"], b["v1"]), (b["u0"], b["v1"]))):
+            rows.append((i, *map(float, s * u + t * v - float(plane[3]) * n)))
+    return df.sparkSession.createDataFrame(rows, "i int, x double, y double, z double")
+
+
+def cylinder_mesh(df: DataFrame, model: tuple, segments: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Vertices (vid, x, y, z) and faces (a, b, c) of a cylinder (point, axis,
+    radius) over the cloud's extent along the axis."""
+    import numpy as np
+
+    p, a, r = np.asarray(model[:3], float), np.asarray(model[3:6], float), float(model[6])
+    u = np.cross(a, [1.0, 0, 0] if abs(a[0]) < 0.9 else [0, 1.0, 0])
+    u /= np.linalg.norm(u)
+    v = np.cross(a, u)
+    t = sum(((F.col(x) - float(o)) * float(k) for x, o, k in zip(AXES, p, a, strict=True)), F.lit(0.0))
+    b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    vertices, faces = [], []
+    for k in range(segments):
+        c, s = np.cos(2 * np.pi * k / segments), np.sin(2 * np.pi * k / segments)
+        for j, h in enumerate((b["lo"] or 0.0, b["hi"] or 0.0)):
+            vertices.append((2 * k + j, *map(float, p + h * a + r * (c * u + s * v))))
+        n = 2 * ((k + 1) % segments)
+        faces += [(2 * k, n, 2 * k + 1), (n, n + 1, 2 * k + 1)]
+    spark = df.sparkSession
+    return spark.createDataFrame(vertices, "vid int, x double, y double, z double"), spark.createDataFrame(faces, "a int, b int, c int")

@@ -203,3 +203,69 @@ def particles(splats: DataFrame, density: float = 1.0, most: int = 8, seed: int
 
     o = s.withColumn("o", offset("id", "n", "vxx", "vxy", "vxz", "vyy", "vyz", "vzz"))
     return o.select(F.col("id").alias("splat_id"), "n", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"])
+
+
+def cull(projected: DataFrame, width: int, height: int, min_alpha: float = 0.0, min_area: float = 0.0, reach: float = 12.0) -> DataFrame:
+    """Projected splats without the faint, the small and those whose ``reach``
+    sigma box misses the image."""
+    area = 2 * math.pi * F.sqrt(F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy"))
+    rx, ry = reach * F.sqrt("sxx"), reach * F.sqrt("syy")
+    seen = (F.col("cx") + rx >= 0) & (F.col("cx") - rx <= width) & (F.col("cy") + ry >= 0) & (F.col("cy") - ry <= height)
+    return projected.where((F.col("alpha") > min_alpha) & (area >= min_area) & seen)
+
+
+def render_samples(splats: DataFrame, pixels: DataFrame, view, focal: float, width: int, height: int, background=(0.0, 0.0, 0.0)) -> DataFrame:
+    """The analytic image at the pixels (px, py) alone: others are dropped before
+    compositing."""
+    layers = covered(project(splats, view, focal, width, height), width, height).join(F.broadcast(pixels), ["px", "py"], "left_semi")  # at most the image's pixels
+    lit = pixels.join(composite(layers), ["px", "py"], "left")
+    rest = 1 - F.coalesce("coverage", F.lit(0.0))
+    return lit.select("px", "py", *[(F.coalesce(c, F.lit(0.0)) + rest * float(v)).alias(c) for c, v in zip("rgb", background, strict=True)])
+
+
+def validate_render(image: DataFrame, oracle: DataFrame, background=(0.0, 0.0, 0.0), gates=(25.0, 18.0)) -> DataFrame:
+    """PSNR over sampled pixels, over all and over the foreground (more than 0.01
+    from the background in the oracle), and whether both pass their gates."""
+    diff = F.greatest(*[F.abs(F.col(c) - float(v)) for c, v in zip("rgb", background, strict=True)])
+    front = oracle.where(diff > 0.01)
+    a = psnr(oracle, image).select(F.col("psnr").alias("psnr_all"))
+    b = psnr(front, image).select(F.col("psnr").alias("psnr_foreground"))
+    both = a.crossJoin(b)  # one row each
+    return both.withColumn("passed", (F.col("psnr_all") >= gates[0]) & (F.coalesce("psnr_foreground", F.lit(120.0)) >= gates[1]))
+
+
+def draw_sorted(splats: DataFrame, eye, view, focal: float, width: int, height: int, size_scale: float = 1.0) -> DataFrame:
+    """Points of size / depth (at least one pixel) blended from far to near, with weight
+    exp(-4 d^2) within the unit disc and the splat's own ellipse."""
+    p = present(splats, size_scale)
+    m = np.asarray(view, float)
+    c = [sum((F.col(a) * m[i, j] for j, a in enumerate("xyz")), F.lit(m[i, 3])) for i in range(3)]
+    s = p.withColumns({"tx": c[0], "ty": c[1], "depth": c[2]}).where(F.col("depth") > NEAR)
+    s = s.withColumns({"cx": F.col("tx") / F.col("depth") * focal + width / 2, "cy": F.col("ty") / F.col("depth") * focal + height / 2, "half": F.greatest(F.lit(1.0), F.col("size") * focal / F.col("depth")) / 2})
+    edge = lambda c, sign, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(c) + sign * F.col("half")).cast("int")))
+    box = s.withColumn("px", F.explode(F.sequence(edge("cx", -1, width), edge("cx", 1, width))))
+    box = box.withColumn("py", F.explode(F.sequence(edge("cy", -1, height), edge("cy", 1, height))))
+    u, v = (F.col("px") + 0.5 - F.col("cx")) / F.col("half"), (F.col("py") + 0.5 - F.col("cy")) / F.col("half")
+    g = [F.col(f"row{i}")[0] * u + F.col(f"row{i}")[1] * v for i in range(3)]
+    d2 = g[0] * g[0] + g[1] * g[1] + g[2] * g[2]
+    hit = box.where((u * u + v * v <= 1) & (d2 <= 1)).withColumn("w", F.exp(-4 * d2))
+    layers = hit.select("id", "px", "py", "depth", *[F.col(k) for k in "rgb"], (F.col("a") * F.col("w")).alias("a"))
+    return full_image(splats.sparkSession, composite(layers), width, height)
+
+
+def image_array(image: DataFrame, width: int, height: int) -> np.ndarray:
+    """(height, width, 3); an image is as large as a screen, whatever the cloud."""
+    out = np.zeros((height, width, 3))
+    p = image.select("px", "py", "r", "g", "b").toPandas()
+    out[p["py"], p["px"]] = p[["r", "g", "b"]]
+    return out
+
+
+def export_pfm(image: DataFrame, width: int, height: int, path: str) -> None:
+    """A linear PFM file. With a column ``samples`` all pixels must have as many."""
+    from ..plans.filestore import write_bytes
+    from ..sources.codec import pfm_bytes
+
+    if "samples" in image.columns and image.select("samples").distinct().count() > 1:
+        raise ValueError("pixels have different numbers of samples")
+    write_bytes(path, [pfm_bytes(image_array(image, width, height))])

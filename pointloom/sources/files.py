@@ -347,3 +347,28 @@ def save_text_distributed(df: DataFrame, path: str) -> None:
 
 def hash_to_hex(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def load_point_set(spark: SparkSession, path: str) -> DataFrame:
+    """A PLY as a point set: colours from sRGB to linear (default where there are none),
+    radius from the bounds where there is none; raises if a rule is broken."""
+    from ..functions.scalar import srgb_to_linear
+    from ..operators.aggregates import default_radius, validate
+
+    df = load(spark, path)
+    radius = default_radius(df).withColumnRenamed("radius", "__r")
+    df = df.crossJoin(F.broadcast(radius)).withColumn("radius", F.coalesce("radius", "__r")).drop("__r")  # one row
+    df = df.withColumns({c: srgb_to_linear(F.coalesce(c, F.lit(v))) for c, v in zip("rgb", DEFAULT_COLOR, strict=True)})
+    if not df.where("nx IS NULL").isEmpty():
+        df = df.drop("nx", "ny", "nz")
+    broken = validate(df).first()
+    if broken:
+        raise ValueError(f"{path}: point {broken['id']}: {broken['message']}")
+    return df
+
+
+def save_point_set(df: DataFrame, path: str) -> None:
+    """A point set as PLY, colours from linear to sRGB."""
+    from ..functions.scalar import linear_to_srgb
+
+    save(df.withColumns({c: linear_to_srgb(c) for c in "rgb"}), path)

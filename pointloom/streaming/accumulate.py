@@ -38,3 +38,16 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
 def profile_map(df: DataFrame, col: str = "profile") -> DataFrame:
     """``key=value;...`` records as a map."""
     return df.withColumn("metrics", F.expr(f"str_to_map({col}, ';', '=')"))
+
+
+def ensembles_left(mode: str, done: int, per_frame: int, target: int) -> int:
+    """Ensembles the next frame may add: one a frame when off, else up to 8 at a time and
+    none beyond the target; raising the target goes on."""
+    if mode == "off":
+        return 1
+    return max(0, min(max(1, min(8, per_frame)), target - done))
+
+
+def reusable(reset: bool, calibration: str, compact: bool, drift: float, bound: float) -> bool:
+    """Whether a kept set of particles may be projected anew in place of sampling."""
+    return not reset and calibration == "none" and compact and drift <= bound
