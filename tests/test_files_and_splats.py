@@ -144,3 +144,45 @@ def test_commands(spark):
     ]
     bad = [x for x in world.run_scenario(d, steps) if not x[2]]
     assert not bad
+
+
+def test_counts_and_colours(spark):
+    r = spark.range(1).select(
+        scalar.calibrated_count("footprint", "extinction", F.lit(0.5), 1.0, 2.0, area=F.lit(3.0), spp=4.0).alias("n"),
+        scalar.radial_keep_probability(F.lit(0.8), F.lit(0.0)).alias("p"), scalar.adaptive_footprint(F.lit(5.5), 0.5, 4).alias("s"),
+        scalar.pixel_density_scale(F.lit(2.0), 100.0, 100.0, 0.1).alias("d"), scalar.pack_hdr(F.lit(1.0), F.lit(0.0), F.lit(3.0)).alias("h"),
+        scalar.expected_coverage(F.lit(0.5), 2.0).alias("c"), scalar.opacity_term("dilog", F.lit(1.0)).alias("g"),
+    ).first()
+    assert r.n == pytest.approx(2 * math.log(2) * 12) and r.p == 1 and r.s == 2 and r.d == pytest.approx(25) and r.c == 0.75
+    assert r.g == pytest.approx(math.pi**2 / 6, rel=1e-6)
+    back = spark.range(1).select(*[c.alias(n) for c, n in zip(scalar.unpack_hdr(F.lit(r.h)), "rgb", strict=True)]).first()
+    assert back.r == pytest.approx(1, rel=0.02) and back.g == 0 and back.b == pytest.approx(3, rel=0.02)
+    u = np.linspace(0.01, 0.99, 50)
+    rad = scalar.sample_corrected_radius(np.full(50, 0.7), u)
+    assert (np.diff(rad) > 0).all() and scalar.dilog(0.7 * np.exp(-(rad**2) / 2)) == pytest.approx((1 - u) * scalar.dilog(np.array([0.7]))[0])
+
+
+def test_scan_samples_and_drawing(spark, tmp_path):
+    from pointloom.operators import aggregates
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(20)], "id bigint, n bigint")
+    got = [r.offset for r in aggregates.exclusive_scan(df, "n").orderBy("id").collect()]
+    assert got == [sum(k % 3 for k in range(i)) for i in range(20)]
+    full = splat.render_analytic(_one(spark), VIEW, 60.0, 16, 16)
+    some = full.select("px", "py").where("px = 8")
+    part = splat.render_samples(_one(spark), some, VIEW, 60.0, 16, 16)
+    assert splat.psnr(part, full).first()["psnr"] == 120 and part.count() == 16
+    assert splat.validate_render(full, part).first()["passed"]
+    drawn = splat.image_array(splat.draw_sorted(_one(spark), (0, 0, 0), VIEW, 60.0, 16, 16), 16, 16)
+    assert drawn[8, 8].max() > 0.1 and drawn[0, 0].max() == 0
+    splat.export_pfm(full, 16, 16, str(tmp_path / "a.pfm"))
+    assert (tmp_path / "a.pfm").read_bytes().startswith(b"PF\n16 16\n-1.0\n")
+    p = splat.project(_one(spark), VIEW, 60.0, 16, 16)
+    assert splat.cull(p, 16, 16).count() == 1 and splat.cull(p, 16, 16, min_alpha=0.99).count() == 0
+
+
+def test_point_set_ply(spark, tmp_path):
+    df = generators.points_from_vertices(generators.sphere(spark, n=30), (0.2, 0.4, 0.8), 0.05)
+    files.save_point_set(df, str(tmp_path / "s.ply"))
+    r = files.load_point_set(spark, str(tmp_path / "s.ply")).orderBy("id").first()
+    assert r.r == pytest.approx(0.2, abs=0.01) and r.radius == pytest.approx(0.05)
