@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,8 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     kept = df.checkpoint(eager=True)
     if release:
         del df
-        gc.collect()
-        sc._jvm.System.gc()
+        for _ in range(2):  # Python lets go of the JVM's objects in its own time; only then can the JVM
+            gc.collect()
+            time.sleep(0.5)
+            sc._jvm.System.gc()
     return kept
