@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rng import normal, poisson
-from ..functions.scalar import covariance_3d, eval_sh, expected_point_count, quat_to_rotation, sh_dc_to_color, sigmoid
+from ..functions.rng import normal, poisson, uniform
+from ..functions.scalar import covariance_3d, eval_sh, expected_point_count, quat_to_rotation, sample_corrected_radius, sh_dc_to_color, sigmoid
 
 NEAR = 1e-4
 LOW_PASS = 0.3
@@ -122,26 +122,22 @@ def render_monte_carlo(splats: DataFrame, view, focal: float, width: int, height
     def throw(ids: pd.Series, set_: pd.Series, lam: pd.Series, alpha: pd.Series, cx: pd.Series, cy: pd.Series, sxx: pd.Series, sxy: pd.Series, syy: pd.Series) -> pd.Series:
         key = (ids.to_numpy(np.uint64) * np.uint64(1_000_003) + set_.to_numpy(np.uint64)) * np.uint64(4096)
         n = poisson(lam.to_numpy(), seed, key)
-        out = []
-        for k, m in enumerate(n):
-            i = key[k] + np.arange(m, dtype=np.uint64)
-            u = np.maximum(1e-12, np.abs(1 - np.modf(normal(seed + 1, i) * 1e3)[0]) % 1)
-            # radius: the share of the count within t is Li2(alpha) - Li2(alpha e^-t)
-            from ..functions.scalar import dilog, inv_dilog
-
-            a = float(min(alpha.iloc[k], 1.0))
-            left = inv_dilog(dilog(np.array([a])) * u)
-            t = np.log(a / np.maximum(left, 1e-300))
-            rad, ang = np.sqrt(np.maximum(0, 2 * t)), 2 * math.pi * ((i * np.uint64(2654435761) % np.uint64(1 << 32)).astype(float) / (1 << 32))
-            l11 = math.sqrt(sxx.iloc[k])
-            l21 = sxy.iloc[k] / l11
-            l22 = math.sqrt(max(0.0, syy.iloc[k] - l21 * l21))
-            g, h = rad * np.cos(ang), rad * np.sin(ang)
-            x, y = cx.iloc[k] + l11 * g, cy.iloc[k] + l21 * g + l22 * h
-            px, py = np.floor(x), np.floor(y)
-            sub = np.floor((x - px) * spp) + spp * np.floor((y - py) * spp)
-            ok = (px >= 0) & (px < width) & (py >= 0) & (py < height)
-            out.append([{"px": int(b), "py": int(c), "sub": int(d)} for b, c, d in zip(px[ok], py[ok], sub[ok], strict=True)])
+        row = np.repeat(np.arange(len(n)), n)
+        first = np.repeat(np.cumsum(n) - n, n)
+        i = key[row] + (np.arange(len(row)) - first).astype(np.uint64)
+        r = sample_corrected_radius(alpha.to_numpy()[row], uniform(seed + 1, i))
+        t = 2 * math.pi * uniform(seed + 2, i)
+        l11 = np.sqrt(sxx.to_numpy())
+        l21 = sxy.to_numpy() / l11
+        l22 = np.sqrt(np.maximum(0, syy.to_numpy() - l21 * l21))
+        x = cx.to_numpy()[row] + l11[row] * r * np.cos(t)
+        y = cy.to_numpy()[row] + l21[row] * r * np.cos(t) + l22[row] * r * np.sin(t)
+        px, py = np.floor(x), np.floor(y)
+        sub = np.minimum(spp - 1, np.floor((x - px) * spp)) + spp * np.minimum(spp - 1, np.floor((y - py) * spp))
+        ok = (px >= 0) & (px < width) & (py >= 0) & (py < height)
+        out: list[list[dict]] = [[] for _ in n]
+        for k, u, v, w in zip(row[ok].tolist(), px[ok].astype(int).tolist(), py[ok].astype(int).tolist(), sub[ok].astype(int).tolist(), strict=True):
+            out[k].append({"px": u, "py": v, "sub": w})
         return pd.Series(out)
 
     hit = p.withColumn("h", F.explode(throw("id", "set", "lam", "alpha", "cx", "cy", "sxx", "sxy", "syy")))

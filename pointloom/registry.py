@@ -485,7 +485,7 @@ def splat_render(spark, sf):
 
 @query()
 def splat_monte_carlo(spark, sf):
-    return splat.render_monte_carlo(_splats(spark, sf).where("id < 50"), VIEW, 200.0, 32, 32, spp=2, sets=4)
+    return splat.render_monte_carlo(_splats(spark, sf), VIEW, 200.0, 32, 32, spp=2, sets=4)
 
 
 @query()
