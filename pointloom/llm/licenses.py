@@ -1,7 +1,8 @@
 """Licence scans by sentence identifiers and ordered rules.
 
-A text is cut into sentences, each is normalised and looked up among known
-licence sentences; what remains of a text is the sequence of their identifiers.
+A text is cut into pieces at sentence marks and line ends and normalised; runs of
+whole pieces are looked up among known licence sentences, so that a known sentence
+may hold such marks itself. What remains of a text is the sequence of identifiers.
 A rule is an ordered list of identifiers: it matches if they occur in that order,
 with anything between. Known sentences and rules are constants of the plan, so
 there is no join and no shuffle; built-in functions only.
@@ -72,7 +73,9 @@ RULES = (
 
 #: Every known sentence holds one of these, so texts without any are not cut up.
 MARKS = r"licen|spdx|permission|warranty|warranties|redistribut|disclaim|rights|mpl|endorse|compliance|cc0"
-_END = r"([.!?;:])[ \t\r\f\x0b]+"
+_END = r"([.!?;:])[ \t\r\f\x0b]+"  # of the SQL twin, which looks up single pieces
+#: Ends of pieces, found in lower-cased text, become an S; line ends become an H.
+_MARK = r"[.!?;:][ \t\r\f\x0b]+"
 
 
 def _norm(c: Column) -> Column:
@@ -83,22 +86,35 @@ def _known() -> dict[str, str]:
     return {s: k for k, ss in SENTENCES.items() for s in ss}
 
 
+def _tree(sentences: list[list[str]]) -> str:
+    """A pattern of the sentences, given as words, with at most one S between two words."""
+    forms = []
+    for w in sorted({s[0] for s in sentences}):
+        rest = [s[1:] for s in sentences if s[0] == w]
+        more = [s for s in rest if s]
+        forms.append(w + (f"(?:(?: ?S ?| ){_tree(more)})" + ("?" if len(more) < len(rest) else "") if more else ""))
+    return f"(?:{'|'.join(forms)})"
+
+
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, n_sentences, sentence_ids, licenses, has_license)`` for every
     row of ``docs``: how many sentences are known, their identifiers in order of
     occurrence and the licences whose rules match, each joined by commas.
 
-    A sentence ends at a line's end, or at one of ``. ! ? ; :`` before white
-    space; it is known if the whole of it, lower-cased (A-Z) and reduced to a-z
-    and 0-9, is. Defined cases: null, empty and licence-free texts have 0, two
+    A piece ends at a line's end, or at one of ``. ! ? ; :`` before white space;
+    a run of whole pieces of one line is a known sentence if it equals one when
+    lower-cased (A-Z) and reduced to a-z and 0-9. Of runs that overlap the first
+    and longest counts. Defined cases: null, empty and licence-free texts have 0, two
     empty strings and false; null doc_ids and repeated rows come back as they
     came; an empty table gives none; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     pairs = [F.lit(x) for kv in _known().items() for x in kv]
     table = F.create_map(*pairs)
-    pieces = F.split(F.regexp_replace(F.col("t"), _END, "$1\n"), "\n")
-    found = F.filter(F.transform(pieces, lambda s: F.element_at(table, _norm(s))), lambda x: x.isNotNull())
+    ends = F.translate(F.regexp_replace(F.translate(F.col("t"), UPPER, LOWER), _MARK, "S"), "\n", "H")
+    plain = F.regexp_replace(ends, "[^a-z0-9SH]+", " ")
+    runs = F.regexp_extract_all(plain, F.lit(f"(?:^|[SH]) ?({_tree([k.split(' ') for k in _known()])})(?= ?(?:[SH]|$))"), F.lit(1))
+    found = F.transform(runs, lambda x: F.element_at(table, F.regexp_replace(x, "[ S]+", " ")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
         F.when(F.col("t").rlike(f"(?i){MARKS}"), found).otherwise(F.array().cast("array<string>")).alias("ids"),
