@@ -74,8 +74,12 @@ RULES = (
 #: Every known sentence holds one of these, so texts without any are not cut up.
 MARKS = r"licen|spdx|permission|warranty|warranties|redistribut|disclaim|rights|mpl|endorse|compliance|cc0"
 _END = r"([.!?;:])[ \t\r\f\x0b]+"  # of the SQL twin, which looks up single pieces
-#: Ends of pieces, found in lower-cased text, become an S; line ends become an H.
-_MARK = r"[.!?;:][ \t\r\f\x0b]+"
+#: Ends of pieces, found in lower-cased text, become an S: a line's end with the next line's
+#: indent and comment leader, or a sentence mark before blanks. Two S in a row are a blank line.
+_MARK = (
+    r"(?:[.!?;:][ \t\r\f\x0b]*+)?\n[^a-z0-9\n]*+(?:(?:rem|dnl)(?![a-z0-9]))?"
+    r"|^[^a-z0-9\n]*+(?:rem|dnl)(?![a-z0-9])|[.!?;:][ \t\r\f\x0b]+"
+)
 
 
 def _norm(c: Column) -> Column:
@@ -102,18 +106,18 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     occurrence and the licences whose rules match, each joined by commas.
 
     A piece ends at a line's end, or at one of ``. ! ? ; :`` before white space;
-    a run of whole pieces of one line is a known sentence if it equals one when
-    lower-cased (A-Z) and reduced to a-z and 0-9. Of runs that overlap the first
-    and longest counts. Defined cases: null, empty and licence-free texts have 0, two
+    a run of whole pieces is a known sentence if it equals one when lower-cased
+    (A-Z) and reduced to a-z and 0-9. So sentences may be wrapped; comment leaders
+    (signs, ``rem``, ``dnl``) are left out, and no run goes over a line without a
+    letter or digit. Of runs that overlap the first and longest counts. Defined cases: null, empty and licence-free texts have 0, two
     empty strings and false; null doc_ids and repeated rows come back as they
     came; an empty table gives none; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     pairs = [F.lit(x) for kv in _known().items() for x in kv]
     table = F.create_map(*pairs)
-    ends = F.translate(F.regexp_replace(F.translate(F.col("t"), UPPER, LOWER), _MARK, "S"), "\n", "H")
-    plain = F.regexp_replace(ends, "[^a-z0-9SH]+", " ")
-    runs = F.regexp_extract_all(plain, F.lit(f"(?:^|[SH]) ?({_tree([k.split(' ') for k in _known()])})(?= ?(?:[SH]|$))"), F.lit(1))
+    plain = F.regexp_replace(F.regexp_replace(F.translate(F.col("t"), UPPER, LOWER), _MARK, "S"), "[^a-z0-9S]+", " ")
+    runs = F.regexp_extract_all(plain, F.lit(f"(?:^|S) ?({_tree([k.split(' ') for k in _known()])})(?= ?(?:S|$))"), F.lit(1))
     found = F.transform(runs, lambda x: F.element_at(table, F.regexp_replace(x, "[ S]+", " ")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
