@@ -201,7 +201,7 @@ def test_line_dedup_properties(spark):
     docs = table(spark, texts)
     out = {(r.doc_id, r.line_no): r.removed for r in linededup.line_verdicts(docs).collect()}
     assert out[0, 0] is False and out[1, 0] and out[2, 0] and out[8, 0] and out[7, 0] and not out[1, 1]
-    assert not out[5, 0] and not out[6, 0]
+    assert not out[5, 0] and out[6, 0]  # equal word sets match, however short
     kept = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
     assert kept[1] == "own" and 2 not in kept and 8 not in kept and kept[3] is None and kept[4] == "" and kept[0] == texts[0]
     assert linededup.line_verdicts(docs.limit(0)).count() == 0
