@@ -8,26 +8,38 @@ them all; a document is scanned once, overlapping matches included, and the end
 of each match leads to the item words' place in the document and, by the words'
 own places, to offsets in the original text.
 
-The patterns are the only thing sent to every worker. Their number is counted
-first: beyond ``BLOCK_PATTERNS`` the items are taken in blocks of that size, one automaton
-at a time, and a document's hits are joined over the blocks, so a worker's memory
-does not grow with the benchmark.
+Tasks make the patterns and write them to the shared folder, in blocks of about
+``BLOCK_PATTERNS`` by their hash; the driver sees their number and the blocks'
+paths, and nothing is broadcast. Workers read the one block, or take several one
+after another for a stretch of texts at a time, so neither the driver's nor a
+worker's memory grows with the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.filestore import read_bytes, write_bytes
+from ..plans.materialize import cut, shared_dir
+from .text import unused
+
 WINDOW = 8
 MIN_ITEMS = 2
 #: Windows in one automaton: about 150 MB.
 BLOCK_PATTERNS = 400_000
+#: Characters of text held while several blocks are gone through.
+HELD_TEXT = 64_000_000
+
+T = TypeVar("T")
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -46,26 +58,50 @@ def windows(text: str | None, size: int = WINDOW) -> list[str]:
     return [f" {b' '.join(w[i : i + size]).decode('utf-8', 'replace')} " for i in range(max(1, len(w) - size + 1))]
 
 
-def pattern_blocks(items: list[tuple[object, str | None]], size: int = WINDOW, limit: int = BLOCK_PATTERNS) -> list[dict[str, list[str]]]:
-    """Pattern to item ids (as strings), in blocks of at most about ``limit``
-    patterns; an item's patterns may lie in two blocks."""
-    blocks: list[dict[str, list[str]]] = [{}]
-    for name, text in items:
-        for p in dict.fromkeys(windows(text, size)):
-            if len(blocks[-1]) >= limit and p not in blocks[-1]:
-                blocks.append({})
-            blocks[-1].setdefault(p, []).append(str(name))
-    return blocks
+def write_patterns(
+    benchmark: DataFrame,
+    text_col: str = "text",
+    id_col: str = "item_id",
+    size: int = WINDOW,
+    limit: int = BLOCK_PATTERNS,
+) -> list[str]:
+    """The windows of a benchmark table, made by tasks and written to the shared
+    folder in blocks of about ``limit`` by their hash; the driver gets the blocks'
+    paths. Rows without an id take part under the name ``null``; rows without
+    words have no window."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for name, text in zip(df["name"], df["text"], strict=True):
+                found = list(dict.fromkeys(windows(text, size)))
+                for at in range(0, len(found), 50_000):
+                    some = found[at : at + 50_000]
+                    yield pd.DataFrame({"pattern": some, "name": [name] * len(some)})
+
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.col(text_col).alias("text"))
+    pairs = cut(items.mapInPandas(each, "pattern string, name string").distinct())
+    blocks = -(-pairs.agg(F.count_distinct("pattern")).first()[0] // limit)
+    if not blocks:
+        return []
+    out = f"{shared_dir(benchmark.sparkSession)}/patterns-{uuid.uuid4().hex}"
+
+    def write(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        path = f"{out}/block-{key[0]:06d}.json"
+        rows = df.sort_values(["pattern", "name"]).groupby("pattern", sort=False)["name"]
+        write_bytes(path, (json.dumps([p, list(names)]).encode() + b"\n" for p, names in rows))
+        return pd.DataFrame({"path": [path]})
 
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
+    return sorted(r["path"] for r in dealt.groupBy("block").applyInPandas(write, "path string").collect())
 
-def automaton(patterns: dict[str, list[str]]):
-    """None if there is no pattern."""
+
+def automaton(path: str):
+    """The automaton of a block that ``write_patterns`` wrote."""
     import ahocorasick
 
-    if not patterns:
-        return None
     a = ahocorasick.Automaton()
-    for p, names in patterns.items():
+    for line in read_bytes(path).splitlines():
+        p, names = json.loads(line)
         a.add_word(p, (p.count(" ") - 1, names))
     a.make_automaton()
     return a
@@ -83,30 +119,47 @@ def scan(text: str | None, found) -> tuple[int, np.ndarray, set[str]]:
         for a in found:
             for end, (n, items) in a.iter(line):
                 if ends is None:  # the place of the space behind each word
-                    ends = np.flatnonzero(np.array([c == " " for c in line]))[1:]
+                    ends = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)[1:]
                 last = int(np.searchsorted(ends, end))
                 hit[last - n + 1 : last + 1] = True
                 names.update(items)
     return len(w), hit, names
 
 
-def scanner(blocks):
-    """A function from texts to what ``scan`` finds in each. ``blocks``: broadcast
-    pattern blocks. One block's automaton is kept; of several, each is built in turn for a
-    batch of texts, so that one is in memory at a time."""
-    kept = [automaton(blocks[0].value)] if len(blocks) == 1 else None
-
-    def run(texts: list[str | None]) -> list[tuple[int, np.ndarray, set[str]]]:
-        if kept is not None:
-            return [scan(t, [a for a in kept if a]) for t in texts]
-        found = None
-        for b in blocks:
-            a = automaton(b.value)
-            new = [scan(t, [a] if a else []) for t in texts]
-            found = new if found is None else [(n, h | g, s | r) for (n, h, s), (_, g, r) in zip(found, new, strict=True)]
-        return found or []
-
-    return run
+Found = tuple[int, np.ndarray, set[str]]
+
+
+def scanned(batches: Iterator[T], texts: Callable[[T], list[str | None]], paths: list[str]) -> Iterator[tuple[T, list[Found]]]:
+    """Each batch with what ``scan`` finds in its texts. One block's automaton is
+    kept. Of several, each is built in turn for some 64 MB of texts, so that one
+    automaton and those texts are in memory at a time."""
+    if len(paths) < 2:
+        kept = [automaton(p) for p in paths]
+        for b in batches:
+            yield b, [scan(t, kept) for t in texts(b)]
+        return
+
+    def through(held: list[T]) -> Iterator[tuple[T, list[Found]]]:
+        found: list[list[Found]] = []
+        for path in paths:
+            a = [automaton(path)]
+            new = [[scan(t, a) for t in texts(b)] for b in held]
+            if found:
+                for old, more in zip(found, new, strict=True):
+                    old[:] = [(n, h | g, s | r) for (n, h, s), (_, g, r) in zip(old, more, strict=True)]
+            else:
+                found = new
+        return zip(held, found, strict=True)
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += sum(len(t or "") for t in texts(b))
+        if size >= HELD_TEXT:
+            yield from through(held)
+            held, size = [], 0
+    if held:
+        yield from through(held)
 
 
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -122,13 +175,6 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", size: int = WINDOW) -> list[dict[str, list[str]]]:
-    """The patterns of a benchmark table. Rows without an id take part under the
-    name ``null``; rows without words have no pattern."""
-    rows = benchmark.select(id_col, text_col).toLocalIterator()
-    return pattern_blocks([("null" if r[0] is None else r[0], r[1]) for r in rows], size)
-
-
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -136,6 +182,7 @@ def contamination(
     id_col: str = "doc_id",
     min_items: int = MIN_ITEMS,
     with_spans: bool = False,
+    limit: int = BLOCK_PATTERNS,
 ) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated[, spans])``.
 
@@ -145,17 +192,15 @@ def contamination(
     ``min_items``. ``spans``: (start, end) character ranges of the hit words.
     Defined cases: null and wordless texts have no words and no hits; a benchmark
     without words hits nothing; null doc_ids and repeated rows come back as they
-    came; an empty table gives none; other columns are ignored.
+    came; an item_id of several rows counts once; an empty table gives none; other
+    columns are ignored. Beyond ``limit`` windows there are several automata; the
+    result is the same.
     """
-    spark: SparkSession = docs.sparkSession
-    blocks = benchmark_blocks(benchmark)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
+    paths = write_patterns(benchmark, limit=limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = scanner(sent)
-        for df in batches:
+        for df, found in scanned(batches, lambda b: b["text"].tolist(), paths):
             texts = df["text"].tolist()
-            found = look(texts)
             out = {
                 "doc_id": df["doc_id"],
                 "n_words": [n for n, _, _ in found],
@@ -181,16 +226,17 @@ def contamination(
 def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """``docs`` without the contaminated rows; the remaining rows lose the
     passages they share with fewer items. Scanning and cutting take one pass over the rows; no join.
-    Columns and their order stay; n_chars, if there, is counted anew."""
-    spark: SparkSession = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark)]
+    Columns and their order stay, whatever their names; n_chars, if there, is counted
+    anew. Null and wordless texts stay as they are, repeated rows and null doc_ids are
+    judged by their own text, and an empty table stays empty."""
+    paths = write_patterns(benchmark)
+    new = unused(docs, "__clean")
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        look = scanner(sent)
-        for s in batches:
-            texts, out = s.tolist(), []
-            for t, (_, hit, names) in zip(texts, look(texts), strict=True):
+        for s, found in scanned(batches, pd.Series.tolist, paths):
+            out = []
+            for t, (_, hit, names) in zip(s.tolist(), found, strict=True):
                 if len(names) >= min_items:
                     out.append(None)
                 elif t is None:
@@ -205,8 +251,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) ->
                     out.append(t)
             yield pd.Series(out, dtype="object")
 
-    rows = docs.withColumn("__clean", cleaned("text")).where("__clean IS NOT NULL")
-    text = F.when(F.col("text").isNotNull(), F.col("__clean"))
+    rows = docs.withColumn(new, cleaned("text")).where(F.col(new).isNotNull())
+    text = F.when(F.col("text").isNotNull(), F.col(new))
     cols = []
     for f in docs.schema:
         if f.name == "text":

@@ -10,8 +10,8 @@ Only documents are labelled. The field is first fitted with every line labelled
 as its document; then the lines of bad documents that it finds good are
 relabelled (the worst line of each stays bad), it is fitted again, and the curve
 is fitted on the documents' means. The sample for fitting has at most
-``SAMPLE_DOCS`` documents of at most ``SAMPLE_LINES`` lines, those with the
-smallest hash of doc_id; measurements are made on the executors, so the driver
+``SAMPLE_DOCS`` documents, those with the smallest hash of doc_id, and at most
+``SAMPLE_LINES`` lines in all; measurements are made on the executors, so the driver
 gets some 100 bytes a line. Scoring reads every document whole, once.
 """
 
@@ -26,8 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import cut
+
 SAMPLE_DOCS = 4000
-SAMPLE_LINES = 2000
+#: Lines of the whole sample, some 50 MB of features on the driver.
+SAMPLE_LINES = 200_000
 THRESHOLD = 0.3
 FOLDS = 5
 ROUNDS = 150
@@ -202,7 +205,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+    """Fit on a bounded sample of labelled rows outside the held-out fold: the first
+    SAMPLE_DOCS labelled ids by their hash, less those whose lines would make the
+    sample longer than SAMPLE_LINES lines. Of several rows with one doc_id, the text
+    of the least hash is taken."""
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
         .groupBy("doc_id")
@@ -216,17 +222,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = []
             for i, q, t in zip(df["doc_id"], df["quality"], df["text"], strict=True):
                 x, length, n = measure([t])
-                if n[0] <= SAMPLE_LINES:
-                    rows.append((i, q, int(n[0]), x.tobytes(), length.tobytes()))
+                rows.append((i, q, int(n[0]), x.tobytes(), length.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "quality", "n", "x", "length"])
 
-    got = (
+    measured = cut(
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_DOCS pairs of numbers
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("v"))
+        .select("doc_id", "quality", "v.text")
         .mapInPandas(run, "doc_id bigint, quality int, n int, x binary, length binary")
-        .collect()
     )
+    taken, room = [], SAMPLE_LINES
+    for r in measured.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= room:
+            taken.append(r["doc_id"])
+            room -= r["n"]
+    got = measured.where(F.col("doc_id").isin(taken)).collect()
     got.sort(key=lambda r: r["doc_id"])
     if not got:
         return Model()
@@ -263,6 +275,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold."""
-    model = train(docs, labels)
-    return docs.withColumn("__score", score_column(model, F.col("text"))).where(F.col("__score") >= threshold).drop("__score")
+    """The rows of ``docs`` whose score reaches the threshold, with all columns as
+    they were. Null and wordless texts are scored as one empty line; repeated rows
+    and null doc_ids are judged by their own text; an empty table stays empty."""
+    return docs.where(score_column(train(docs, labels), F.col("text")) >= threshold)

@@ -1,8 +1,8 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Documents longer than the largest permitted length are cut into pieces of it. Pieces
-are dealt by a hash of document and piece to shards of some tens of thousands, of which each
-is packed by itself, longest piece first: a piece goes to the open bin that it
+are dealt by a hash of document, piece and (of equal rows) copy to shards of some
+tens of thousands, of which each is packed by itself, longest piece first: a piece goes to the open bin that it
 leaves the least room in. If none has room, a bin is opened with the permitted
 length whose cost for each token it can expect to hold is least, given what is
 still to be packed and would fit behind the piece. At the end every bin shrinks
@@ -20,12 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import cut
 from .text import words
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: The cost of a sequence of c tokens, in tokens: OVERHEAD + c * (1 + c / QUADRATIC).
 OVERHEAD, QUADRATIC = 16, 32_768
 SHARD = 20_000
+#: Equal rows numbered by one task at a time.
+STRETCH = 10_000
 
 
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, quadratic: int = QUADRATIC) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,24 +94,27 @@ def pack_documents(
     Defined cases: null and negative lengths count as zero; a row without tokens is one piece of
     none; equal lengths are taken in the order of document and piece; null
     doc_ids are packed like others; repeated rows are packed as often as they
-    come; an empty table gives none; other columns are ignored. Equal input gives
+    come, and neither they nor null ids meet in one shard; an empty table gives none; other columns are ignored. Equal input gives
     equal output whatever its partitions, up to the order of identical rows.
     """
     top = max(capacities)
     n = F.greatest(F.coalesce(F.col(length_col).cast("bigint"), F.lit(0)), F.lit(0))
+    # equal rows are counted and numbered anew, in stretches, so that they are dealt like others
+    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), n.alias("n")).groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("copies")))
+    total = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top)) * F.col("copies")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-int(total) // shard))
+    runs = rows.select("doc_id", "n", "copies", F.explode(F.expr(f"sequence(0L, (copies - 1) div {STRETCH})")).alias("run"))
+    if shards > 1:
+        runs = runs.repartition("doc_id", "n", "run")
     pieces = (
-        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), n.alias("n"))
-        .select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1))).alias("piece"))
-        .select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("n_tokens"))
+        runs.select("doc_id", "n", F.explode(F.expr(f"sequence(run * {STRETCH}, least(copies, (run + 1) * {STRETCH}) - 1)")).alias("copy"))
+        .select("doc_id", "n", "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1))).alias("piece"))
+        .select("doc_id", "copy", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("n_tokens"))
     )
-    total = docs.select(
-        F.sum(F.greatest(F.lit(1), F.ceil(n / top))).alias("n")
-    ).first()["n"] or 0
-    shards = max(1, -(-int(total) // shard))
     caps = tuple(capacities)
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["doc_id", "piece"], kind="stable", na_position="first")
+        df = df.sort_values(["doc_id", "copy", "piece", "n_tokens"], kind="stable", na_position="first")
         b, slot, cap = pack(df["n_tokens"].to_numpy(np.int64), caps)
         return pd.DataFrame(
             {
@@ -122,13 +128,14 @@ def pack_documents(
             }
         )
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "copy", "n_tokens"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(
         run, "doc_id bigint, piece bigint, start bigint, n_tokens bigint, bin_id bigint, slot int, capacity int"
     )
 
 
 def word_lengths(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, n_tokens)``: a document's words and one separator."""
+    """``(doc_id, n_tokens)``: a document's words and one separator, a row for every
+    row; null and wordless texts count the separator alone."""
     n = F.size(words(F.coalesce(F.col(text_col), F.lit("")))) + 1
     return docs.select(F.col(id_col).alias("doc_id"), n.cast("bigint").alias("n_tokens"))

@@ -20,14 +20,16 @@ fingerprint before any of this, by an aggregate that combines on the map side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.materialize import cut
+from .text import unused
 
 SEED = 42
 SHINGLE = 3
@@ -65,14 +67,14 @@ def simhash64(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, fp)`` for every row; other columns are not read."""
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", more: Sequence[Column] = ()) -> DataFrame:
+    """``(doc_id, fp, *more)`` for every row; other columns are not read."""
 
     @F.pandas_udf("bigint")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash64(t) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"), *more)
 
 
 def _embedding(x: str) -> str:
@@ -123,6 +125,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return two.unionByName(shared).distinct()
 
 
+def _groups(marked: DataFrame) -> DataFrame:
+    """``(fp, component_id, d, t)`` of rows ``(doc_id, fp, t)``: each fingerprint
+    with its component's smallest doc_id, and the t that goes with it, the least of several."""
+    first = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("d"), "t"))
+    fps = cut(marked.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = connected_components(links(fps.select("fp")))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("v")).select("root", "v.*")
+    return rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("d").alias("component_id"), "d", "t")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -135,13 +148,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Columns other than the two named are ignored.
     """
     marked = cut(fingerprints(docs, text_col, id_col))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(fps.select("fp")))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
-    )
-    ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    named = _groups(marked.withColumn("t", F.lit(0))).select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -149,16 +156,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, the one with the
-    smallest doc_id. Repeated rows of that doc_id count once; rows with a null
-    doc_id cannot be named and stay."""
-    kept = (
-        near_duplicates(docs)
-        .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("__kept"))
-        .distinct()
-    )
-    one = (
-        docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-        .dropDuplicates(["doc_id"])
-    )
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    smallest doc_id; of several texts with that doc_id the one of the least hash,
+    and of rows equal in both any one. Rows with a null doc_id cannot be named and
+    stay; null and wordless texts are one group; an empty table stays empty; all
+    columns stay, whatever their names."""
+    t = unused(docs, "__t")
+    marked = cut(fingerprints(docs, more=[F.xxhash64("text").alias("t")]))
+    kept = _groups(marked).where("d IS NOT NULL").select(F.col("d").alias("__d"), F.col("t").alias("__of")).distinct()
+    rows = docs.where("doc_id IS NOT NULL").withColumn(t, F.xxhash64("text"))
+    one = rows.join(kept, (rows["doc_id"] == kept["__d"]) & (rows[t] == kept["__of"]), "left_semi").dropDuplicates(["doc_id", t])
+    return one.drop(t).unionByName(docs.where("doc_id IS NULL"))

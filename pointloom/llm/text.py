@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that part words.
@@ -19,3 +19,11 @@ def ascii_lower(c: Column) -> Column:
 def words(c: Column) -> Column:
     """The maximal runs of characters other than white space, in order."""
     return F.filter(F.split(c, WORD_GAP), lambda w: w != "")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: A character of each class that no contraction holds: letter, number, space, other.
+STAND_IN = {r"\p{L}": "é", r"\p{N}": "٣", r"\s": "\u2003", "": "§"}
+
+
+def differing() -> dict[int, str]:
+    """Characters that the tokenizers library puts in another class than this
+    process's ``regex``, as their Unicode versions differ, each with a character
+    of the library's class."""
+    import regex
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    here, there = np.full(len(every), 3), np.full(len(every), 3)
+    for k, name in enumerate(list(STAND_IN)[:3]):
+        for m in regex.finditer(f"{name}+", every):
+            here[m.start() : m.end()] = k
+        rest = np.ones(len(every), bool)
+        for _, (a, b) in Split(Regex(f"{name}+"), "removed").pre_tokenize_str(every):
+            rest[a:b] = False
+        there[rest] = k
+    stand = list(STAND_IN.values())
+    return {ord(every[i]): stand[there[i]] for i in np.flatnonzero(here != there)}
+
+
 class MergeTable:
     """A byte-level BPE file (tokenizers JSON) as sorted arrays."""
 
@@ -65,6 +90,7 @@ class MergeTable:
             raise ValueError(f"{path}: added tokens with options")
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in added)) if added else None
         self.pattern = regex.compile(PATTERN)
+        self.later = regex.compile("[^\x00-\u017f]")
         self.known: dict[str, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -121,14 +147,25 @@ class MergeTable:
             at = end
         return out
 
+    @cached_property
+    def odd(self):
+        import regex
+
+        self.others = differing()
+        return regex.compile("[" + "".join(map(regex.escape, map(chr, self.others))) + "]") if self.others else None
+
+    def pieces(self, text: str) -> list[str]:
+        # characters up to U+017F have been in one class in all versions
+        if text.isascii() or not self.later.search(text) or self.odd is None or not self.odd.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.others))]
+
     def spans(self, text: str) -> tuple[list[str], int]:
         """A text's pre-tokens, and how many added tokens stand in it."""
-        if self.special is None:
-            return self.pattern.findall(text), 0
-        parts = self.special.split(text)
+        parts = [text] if self.special is None else self.special.split(text)
         if len(parts) == 1:
-            return self.pattern.findall(text), 0
-        return [p for s in parts for p in self.pattern.findall(s)], len(parts) - 1
+            return self.pieces(text), 0
+        return [p for s in parts for p in self.pieces(s)], len(parts) - 1
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text; null counts as empty."""

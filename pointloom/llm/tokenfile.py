@@ -253,7 +253,8 @@ def write_token_files(
             yield flush()
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    # by the texts' beginnings too, as rows may share a doc_id; whole texts would all be sampled for the ranges
+    ranged = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
     )
     return cut(

@@ -135,8 +135,8 @@ def _payload(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _writer(out: str, what: str):
-    """Rows to archives of bounded size; yields one row an archive."""
+def _writer(out: str, what: str, segment: int = SEGMENT):
+    """Rows to archives of bounded size, each with its own warcinfo; yields one row an archive."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
@@ -144,12 +144,12 @@ def _writer(out: str, what: str):
         def close() -> pd.DataFrame:
             nonlocal seq, size, held
             path = f"{out}/{what}-{part:06d}-{seq:05d}.warc.gz"
-            write_bytes(path, held)
+            info = record("warcinfo", record_id(what, part, seq), b"software: pointloom\r\nformat: WARC File Format 1.1\r\n", Content_Type="application/warc-fields")
+            write_bytes(path, [info, *held])
             row = pd.DataFrame([(path, size)], columns=["path", "bytes"])
             seq, size, held = seq + 1, 0, []
             return row
 
-        held.append(record("warcinfo", record_id(what, part), b"software: pointloom\r\nformat: WARC File Format 1.1\r\n", Content_Type="application/warc-fields"))
         for df in batches:
             for r in df.itertuples(index=False):
                 if what == "revisit":
@@ -161,7 +161,7 @@ def _writer(out: str, what: str):
                         )
                     ]
                 else:
-                    new = response_records(r.name, r.url, (r.html or "").encode("utf-8", "replace"), r.page)
+                    new = response_records(r.name, r.url, (r.html or "").encode("utf-8", "replace"), r.page, segment)
                 for x in new:
                     if size and size + len(x) > ARCHIVE:
                         yield close()
@@ -173,7 +173,7 @@ def _writer(out: str, what: str):
     return run
 
 
-def write_archives(pages: DataFrame, out: str, least: int = LEAST_DUPLICATE) -> DataFrame:
+def write_archives(pages: DataFrame, out: str, least: int = LEAST_DUPLICATE, segment: int = SEGMENT) -> DataFrame:
     """Write all ``pages`` under ``out``; return ``(path, bytes)`` an archive.
 
     Equal payloads of at least ``least`` bytes are written once, as the response
@@ -220,7 +220,7 @@ def write_archives(pages: DataFrame, out: str, least: int = LEAST_DUPLICATE) ->
     responses = texts.join(numbered, ["page", "url", "digest"]).where("copy - which = 0").select("name", "url", "page", "html")
     schema = "path string, bytes bigint"
     return cut(
-        responses.mapInPandas(_writer(out, "response"), schema).unionByName(
+        responses.mapInPandas(_writer(out, "response", segment), schema).unionByName(
             revisits.select("name", "url", "page", "digest", "refers").mapInPandas(_writer(out, "revisit"), schema)
         )
     )
@@ -317,7 +317,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return own.unionByName(revisits)
 
 
-def round_trip(pages: DataFrame, least: int = LEAST_DUPLICATE) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = LEAST_DUPLICATE, segment: int = SEGMENT) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` from
     the archives written of ``pages`` and read back.
 
@@ -328,6 +328,6 @@ def round_trip(pages: DataFrame, least: int = LEAST_DUPLICATE) -> DataFrame:
     """
     out = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     kind = pages.schema["page_id"].dataType
-    back = read_archives(write_archives(pages, out, least))
+    back = read_archives(write_archives(pages, out, least, segment))
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
     return back.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
