@@ -239,8 +239,7 @@ def test_contamination(spark):
     assert out[5].n_items == 0 and [texts[3][a:b] for a, b in out[3].spans] == [quote]
     kept = {r.doc_id: r.text for r in decontaminate.clean(table(spark, texts), bench).collect()}
     assert 4 not in kept and kept[3] == "lead . tail" and kept[2] == "clean text" and kept[0] is None
-    blocks = decontaminate.pattern_blocks(items, limit=3)
-    assert len(blocks) > 1 and sum(len(b) for b in blocks) == len(decontaminate.pattern_blocks(items)[0])
+    assert len(decontaminate.write_patterns(bench, limit=3)) > 1 and len(decontaminate.write_patterns(bench)) == 1
     assert decontaminate.contamination(table(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
