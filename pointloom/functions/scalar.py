@@ -73,10 +73,14 @@ def eval_sh(degree: int, dc, rest: Column, channel: int, direction: tuple, strid
     return F.greatest(F.lit(0.0), out + 0.5)
 
 
-def quat_to_rotation(q: Column) -> list[list[Column]]:
-    """Rows of the rotation of (w, x, y, z), scaled to unit length first."""
+def unit_quaternion(q: Column) -> list[Column]:
+    """(w, x, y, z) at unit length; no rotation for a zero quaternion."""
     n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    w, x, y, z = (F.when(n > 0, q[i] / n).otherwise(1.0 if i == 0 else 0.0) for i in range(4))
+    return [F.when(n > 0, q[i] / n).otherwise(1.0 if i == 0 else 0.0) for i in range(4)]
+
+
+def rotation_rows(w: Column, x: Column, y: Column, z: Column) -> list[list[Column]]:
+    """Rows of the rotation of a unit quaternion."""
     return [
         [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)],
         [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)],
@@ -84,10 +88,19 @@ def quat_to_rotation(q: Column) -> list[list[Column]]:
     ]
 
 
+def quat_to_rotation(q: Column) -> list[list[Column]]:
+    """Rows of the rotation of (w, x, y, z), scaled to unit length first."""
+    return rotation_rows(*unit_quaternion(q))
+
+
+def turned_squares(r: list[list[Column]], s2: list[Column]) -> dict[str, Column]:
+    """R diag(s2) R^T."""
+    return {a + b: sum((r["xyz".index(a)][k] * r["xyz".index(b)][k] * s2[k] for k in range(3)), F.lit(0.0)) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
+
+
 def covariance_3d(scale: Column, rot: Column) -> dict[str, Column]:
     """R S S R^T of log scales and a quaternion."""
-    r, s2 = quat_to_rotation(rot), [F.exp(2 * scale[i]) for i in range(3)]
-    return {a + b: sum((r["xyz".index(a)][k] * r["xyz".index(b)][k] * s2[k] for k in range(3)), F.lit(0.0)) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    return turned_squares(quat_to_rotation(rot), [F.exp(2 * scale[i]) for i in range(3)])
 
 
 def footprint_area(sxx, sxy, syy) -> Column:

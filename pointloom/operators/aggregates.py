@@ -112,18 +112,21 @@ def memory_bytes(df: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """An order-free 64-bit hash of the rows with their ids: the same for equal
-    clouds however they are partitioned."""
-    cols = [F.col("id"), *[F.col(c) for c in columns]]
-    return df.agg(F.lower(F.lpad(F.hex(F.expr("bit_xor(h)")), 16, "0")).alias("hash")) if "h" in df.columns else df.select(
-        F.xxhash64(*cols).alias("h")).agg(F.lower(F.lpad(F.hex(F.expr("bit_xor(h)")), 16, "0")).alias("hash"))
-
-
-def fnv1a64(data: bytes) -> int:
-    """FNV-1a over bytes, for interchange files."""
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    """An order-free 64-bit hash of the rows with their ids, the same for equal clouds
+    however they are partitioned: equal rows are counted, the rows' hashes with their
+    counts summed without carry between the halves. It's this engine's own hash; files carry FNV-1a of their body."""
+    rows = df.groupBy("id", *columns).agg(F.count(F.lit(1)).alias("copies__"))
+    h = F.xxhash64("id", *columns, "copies__")
+    low, high = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))
+    both = [F.lower(F.lpad(F.hex(F.coalesce(x, F.lit(0)).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for x in (high, low)]
+    return rows.agg(F.concat(*both).alias("hash"))
+
+
+def fnv1a64(data: bytes, h: int = 0xCBF29CE484222325) -> int:
+    """FNV-1a over bytes, for interchange files; ``h`` is the hash of what came before."""
+    prime, mask = 0x100000001B3, 0xFFFFFFFFFFFFFFFF
+    for b in memoryview(data):  # each step needs the one before; interchange files alone are hashed so
+        h = (h ^ b) * prime & mask
     return h
 
 

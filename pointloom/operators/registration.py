@@ -128,28 +128,40 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, iterations: int = 5
     return best
 
 
+#: Histograms in a block of either side.
+BLOCK = 1000
+
+
 def feature_matches(source: DataFrame, target: DataFrame) -> DataFrame:
-    """``(id, nid)``: the target histogram nearest to each source histogram, the
-    lower id on ties. The target's histograms are taken in blocks of bounded size to every source
-    row, so neither side must fit in memory; the minimum combines over blocks."""
+    """``(id, nid, d2)``: the target histogram nearest to each source histogram, the
+    lower id on ties. All pairs of blocks are compared, some 1,000 histograms to a
+    block, by a matrix product; what comes within rounding of the least is measured
+    exactly, and the minimum combines over blocks. Neither side must fit in memory."""
     import pandas as pd
 
-    blocks = target.select(F.col("id").alias("nid"), F.col("histogram")).withColumn("block", F.pmod("nid", F.lit(max(1, target.count() // 2000 + 1))))
-    grouped = blocks.groupBy("block").agg(F.collect_list("nid").alias("nids"), F.collect_list("histogram").alias("hs")).drop("block")
-    chunks = source.select("id", "histogram").withColumn("b", F.pmod("id", F.lit(max(1, source.count() // 2000 + 1))))
-    left = chunks.groupBy("b").agg(F.collect_list("id").alias("ids"), F.collect_list("histogram").alias("gs")).drop("b")
+    from ..plans.materialize import cut
+
+    def blocks(df: DataFrame, i: str, h: str) -> DataFrame:
+        df = cut(df.select(F.col("id").alias("i"), "histogram"))  # counted and read again
+        n = max(1, -(-df.count() // BLOCK))
+        return df.groupBy(F.pmod(F.xxhash64("i"), F.lit(n)).alias("block")).agg(F.collect_list("i").alias(i), F.collect_list("histogram").alias(h)).drop("block")
 
     def run(batches):
         for df in batches:
-            for _, r in df.iterrows():
-                a, b = np.stack(list(r["gs"])), np.stack(list(r["hs"]))
-                nids = np.asarray(r["nids"])
-                order = np.argsort(nids, kind="stable")
-                d = ((a[:, None, :] - b[None, order, :]) ** 2).sum(-1)
-                at = d.argmin(1)
-                yield pd.DataFrame({"id": list(r["ids"]), "nid": nids[order][at], "d2": d[np.arange(len(a)), at]})
-
-    met = left.join(grouped, F.lit(True)).mapInPandas(run, "id bigint, nid bigint, d2 double")
+            for ids, hs, nids, gs in zip(df["ids"], df["hs"], df["nids"], df["gs"], strict=True):
+                a, b, ids, nids = np.stack(list(hs)), np.stack(list(gs)), np.asarray(ids), np.asarray(nids)
+                aa, bb = (a * a).sum(1), (b * b).sum(1)
+                d = aa[:, None] + bb[None, :] - 2 * a @ b.T
+                row, col = np.nonzero(d <= d.min(1)[:, None] + 1e-9 * (1 + aa[:, None] + bb.max()))
+                exact = ((a[row] - b[col]) ** 2).sum(1)
+                best = np.lexsort((nids[col], exact, row))
+                first = best[np.unique(row[best], return_index=True)[1]]
+                yield pd.DataFrame({"id": ids[row[first]], "nid": nids[col[first]], "d2": exact[first]})
+
+    pairs = blocks(source, "ids", "hs").crossJoin(blocks(target, "nids", "gs"))  # of blocks
+    spark = source.sparkSession
+    spread = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met = spread.mapInPandas(run, "id bigint, nid bigint, d2 double")
     return met.groupBy("id").agg(F.min(F.struct("d2", "nid")).alias("m")).select("id", "m.nid", F.col("m.d2").alias("d2"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rng import normal, poisson, uniform
-from ..functions.scalar import covariance_3d, eval_sh, expected_point_count, quat_to_rotation, sample_corrected_radius, sh_dc_to_color, sigmoid
+from ..functions.scalar import covariance_3d, eval_sh, expected_point_count, quat_to_rotation, rotation_rows, sample_corrected_radius, sh_dc_to_color, sigmoid, turned_squares, unit_quaternion
 
 NEAR = 1e-4
 LOW_PASS = 0.3
@@ -40,21 +40,34 @@ def project(splats: DataFrame, view, focal: float, width: int, height: int, low_
     m = np.asarray(view, float)
     p = [F.col(a) for a in "xyz"]
     c = [sum((p[j] * m[i, j] for j in range(3)), F.lit(m[i, 3])) for i in range(3)]
-    cov = covariance_3d(F.col("scale"), F.col("rot"))
-    s = splats.withColumns({"tx": c[0], "ty": c[1], "tz": c[2], "alpha": sigmoid("opacity"), **{f"v{k}": v for k, v in cov.items()}})
+    colors = [F.greatest(F.lit(0.0), sh_dc_to_color(F.col("f_dc")[i])).alias(k) for i, k in enumerate("rgb")]
+    turn = [q.alias(f"q{i}") for i, q in enumerate(unit_quaternion(F.col("rot")))] + [F.exp(2 * F.col("scale")[i]).alias(f"s{i}") for i in range(3)]
+    s = _steps(splats, ["id"], [c[0].alias("tx"), c[1].alias("ty"), c[2].alias("tz"), sigmoid("opacity").alias("alpha"), *colors, *turn])
+    rows = rotation_rows(*[F.col(f"q{i}") for i in range(4)])
+    s = _steps(s, [x for x in s.columns if x[0] != "q"], [rows[i][k].alias(f"r{i}{k}") for i in range(3) for k in range(3)])
+    cov = turned_squares([[F.col(f"r{i}{k}") for k in range(3)] for i in range(3)], [F.col(f"s{i}") for i in range(3)])
+    s = _steps(s, ["id", "tx", "ty", "tz", "alpha", "r", "g", "b"], [v.alias(f"v{k}") for k, v in cov.items()])
     s = s.where((F.col("tz") > NEAR) & (F.col("alpha") > min_alpha))
     limit = [1.3 * 0.5 * width / focal, 1.3 * 0.5 * height / focal]
     t = [F.greatest(F.lit(-lim), F.least(F.lit(lim), F.col(a) / F.col("tz"))) for a, lim in zip(("tx", "ty"), limit, strict=True)]
-    j = [[focal * m[0, k] - focal * t[0] * m[2, k] for k in range(3)], [focal * m[1, k] - focal * t[1] * m[2, k] for k in range(3)]]
-    j = [[x / F.col("tz") for x in row] for row in j]
+    j = [[((focal * m[0, k] - focal * t[0] * m[2, k]) / F.col("tz")).alias(f"j0{k}") for k in range(3)], [((focal * m[1, k] - focal * t[1] * m[2, k]) / F.col("tz")).alias(f"j1{k}") for k in range(3)]]
+    s = _steps(s, s.columns, j[0] + j[1])
     sym = lambda a, b: F.col("v" + "".join(sorted("xyz"[a] + "xyz"[b])))
-    form = lambda u, v: sum((u[a] * v[b] * sym(a, b) for a in range(3) for b in range(3)), F.lit(0.0))
-    out = s.select(
-        "id", (F.col("tx") / F.col("tz") * focal + width / 2).alias("cx"), (F.col("ty") / F.col("tz") * focal + height / 2).alias("cy"),
-        (form(j[0], j[0]) + low_pass).alias("sxx"), form(j[0], j[1]).alias("sxy"), (form(j[1], j[1]) + low_pass).alias("syy"),
-        F.col("tz").alias("depth"), "alpha", *[F.greatest(F.lit(0.0), sh_dc_to_color(F.col("f_dc")[i])).alias(k) for i, k in enumerate("rgb")],
+    form = lambda u, v: sum((F.col(f"j{u}{a}") * F.col(f"j{v}{b}") * sym(a, b) for a in range(3) for b in range(3)), F.lit(0.0))
+    out = _steps(
+        s, ["id", F.col("tz").alias("depth"), "alpha", "r", "g", "b"],
+        [
+            (F.col("tx") / F.col("tz") * focal + width / 2).alias("cx"), (F.col("ty") / F.col("tz") * focal + height / 2).alias("cy"),
+            (form(0, 0) + low_pass).alias("sxx"), form(0, 1).alias("sxy"), (form(1, 1) + low_pass).alias("syy"),
+        ],
     )
-    return out.where("sxx * syy - sxy * sxy > 0")
+    return out.select("id", "cx", "cy", "sxx", "sxy", "syy", "depth", "alpha", "r", "g", "b").where("sxx * syy - sxy * sxy > 0")
+
+
+def _steps(df: DataFrame, keep: list, new: list) -> DataFrame:
+    """``keep`` and ``new`` columns, the new ones as rows of a generator: an optimizer
+    that wrote them out wherever they are used would make more code than a method can hold."""
+    return df.select(*keep, F.inline(F.array(F.struct(*new))))
 
 
 def view_colors(splats: DataFrame, eye, degree: int) -> DataFrame:
@@ -182,10 +195,11 @@ def thin(target: float, active: float, budget: float) -> float:
 
 
 def particles(splats: DataFrame, density: float = 1.0, most: int = 8, seed: int = 42) -> DataFrame:
-    """``(splat_id, n, x, y, z)``: up to ``most`` particles a splat, their number
-    by alpha and density, placed by its 3D covariance."""
+    """``(splat_id, n, x, y, z, r, g, b)``: up to ``most`` particles a splat, their
+    number alpha * density * most to the nearest (which may be none), placed by its 3D
+    covariance, of the splat's colour."""
     cov = covariance_3d(F.col("scale"), F.col("rot"))
-    count = F.least(F.lit(most), F.ceil(sigmoid("opacity") * density * most).cast("int"))
+    count = F.least(F.lit(most), F.floor(sigmoid("opacity") * density * most + 0.5).cast("int"))
     s = splats.withColumns({f"v{k}": v for k, v in cov.items()}).withColumn("n", F.explode(F.when(count > 0, F.sequence(F.lit(1), count))))
 
     @F.pandas_udf("struct<dx: double, dy: double, dz: double>")
@@ -198,7 +212,8 @@ def particles(splats: DataFrame, density: float = 1.0, most: int = 8, seed: int
         return pd.DataFrame({"dx": d[:, 0], "dy": d[:, 1], "dz": d[:, 2]})
 
     o = s.withColumn("o", offset("id", "n", "vxx", "vxy", "vxz", "vyy", "vyz", "vzz"))
-    return o.select(F.col("id").alias("splat_id"), "n", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"])
+    colors = [F.greatest(F.lit(0.0), sh_dc_to_color(F.col("f_dc")[i])).alias(c) for i, c in enumerate("rgb")]
+    return o.select(F.col("id").alias("splat_id"), "n", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"], *colors)
 
 
 def cull(projected: DataFrame, width: int, height: int, min_alpha: float = 0.0, min_area: float = 0.0, reach: float = 12.0) -> DataFrame:

@@ -7,6 +7,7 @@ Writes go to a private name and are renamed, so that a task which runs twice
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from urllib.parse import urlparse
 
@@ -64,3 +65,16 @@ def read_bytes(path: str) -> bytes:
     store, inner = fs.FileSystem.from_uri(path)
     with store.open_input_stream(inner) as f:
         return f.read()
+
+
+def remove_tree(path: str) -> None:
+    """Remove a folder that tasks wrote, if it's there."""
+    local = _local(path)
+    if local is not None:
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    if store.get_file_info(inner).type == fs.FileType.Directory:
+        store.delete_dir(inner)

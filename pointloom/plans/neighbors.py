@@ -70,7 +70,8 @@ def knn_pairs(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool
     whole = max((max(box[f"hi{a}"], qbox[f"hi{a}"]) - min(box[f"lo{a}"], qbox[f"lo{a}"]) for a in AXES), default=0.0) if n and qbox["lox"] is not None else 0.0
     if width is None:
         sides = [max((box[f"hi{a}"] - box[f"lo{a}"]) if n else 0.0, whole * 1e-3, 1e-12) for a in AXES]
-        width = (sides[0] * sides[1] * sides[2] * max(k, 1) / max(n, 1)) ** (1 / 3)
+        width = _start_width(schema_points, (sides[0] * sides[1] * sides[2] * max(k, 1) / max(n, 1)) ** (1 / 3), k) if n > CHECKED else (
+            sides[0] * sides[1] * sides[2] * max(k, 1) / max(n, 1)) ** (1 / 3)
     done, left = None, queries.select("id", *AXES)
     while True:
         last = width > whole
@@ -92,6 +93,25 @@ def knn_pairs(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool
         width *= 2
 
 
+#: Clouds up to this size aren't measured for their first width.
+CHECKED = 5_000
+
+
+def _start_width(points: DataFrame, width: float, k: int) -> float:
+    """A cube's width at which a point's own cube holds some 8 k points on average over the
+    points. The bounding box alone would put a dense cluster with one far point into
+    one cube; points in thinner regions settle in later rounds, when cubes have grown."""
+    before = float("inf")
+    for _ in range(60):
+        c = with_cells(points, width).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("c"))
+        mean = c.agg(F.sum(F.col("c").cast("double") * F.col("c")) / F.sum("c")).first()[0]
+        if mean <= 8 * max(k, 1) or mean > 0.97 * before and before < float("inf"):  # copies of a point can't be parted
+            return width
+        before = mean
+        width /= min(64.0, max(2.0, (mean / (8 * max(k, 1))) ** 0.5))
+    return width
+
+
 def _candidates(q: DataFrame, p: DataFrame, width: float, exclude_self: bool, carry: tuple[str, ...]) -> DataFrame:
     a = visited(q, width)
     b = with_cells(p, width).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,6 @@ from .operators import aggregates as agg
 from .operators import cluster, features, filters, fitting, pick, registration, selection, splat, surface
 from .plans.clouds import EMB_SQL, LINE_SQL, embedding_cloud, lineitem_cloud
 from .plans.neighbors import knn, radius_neighbors
-from .sources import generators
 from .streaming import accumulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,20 +124,50 @@ def curvature_radius(spark, sf):
     return _r(features.curvature(embedding_cloud(spark, sf), radius=0.1), "curvature", digits=5)
 
 
-@query()
+@query(f"{BASE}, {PAIRS}, dd AS (SELECT * FROM d WHERE dist < 0.1), {_moments('dd')}, {CURVE}, f AS (SELECT emb.id, coalesce(v, 0.0) AS v FROM emb LEFT JOIN v USING (id)) "
+       "SELECT id, round(v, 5) AS curvature, round(v / (SELECT max(v) FROM f), 5) AS gray FROM f WHERE v <= 0.1")
 def curvature_filter(spark, sf):
-    return filters.curvature_filter(embedding_cloud(spark, sf), 0.1, 0.1).select("id", "curvature", "gray")
-
-
-@query()
+    return _r(filters.curvature_filter(embedding_cloud(spark, sf), 0.1, 0.1).select("id", "curvature", "gray"), "curvature", "gray", digits=5)
+
+
+def _normal_sql(table: str) -> str:
+    """The direction of least variance of the neighbours and the point itself, from
+    the closed-form least eigenvalue and the longest cross product of two rows of C - lambda I."""
+    c = ", ".join(f"(sum(d{p[0]} * d{p[1]}) - sum(d{p[0]}) * sum(d{p[1]}) / (count(*) + 1)) / count(*) AS {p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    rows = {"a": ("xx - l", "xy", "xz"), "b": ("xy", "yy - l", "yz"), "c": ("xz", "yz", "zz - l")}
+    cross = {}
+    for k, (u, v) in enumerate((("a", "b"), ("a", "c"), ("b", "c"))):
+        p, q = rows[u], rows[v]
+        cross[k] = [f"(({p[i]}) * ({q[j]}) - ({p[j]}) * ({q[i]}))" for i, j in ((1, 2), (2, 0), (0, 1))]
+    pick = ", ".join(f"{e} AS w{k}{n}" for k, es in cross.items() for e, n in zip(es, "xyz", strict=True))
+    size = ", ".join(f"sqrt(w{k}x * w{k}x + w{k}y * w{k}y + w{k}z * w{k}z) AS s{k}" for k in cross)
+    best = ", ".join(f"CASE WHEN s0 >= s1 AND s0 >= s2 THEN w0{n} / s0 WHEN s1 >= s2 THEN w1{n} / s1 ELSE w2{n} / s2 END AS n{n}" for n in "xyz")
+    return (
+        f"c AS (SELECT id, {c} FROM {table} GROUP BY id HAVING count(*) >= 2), q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), "
+        "p AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q), "
+        "r AS (SELECT *, greatest(-1.0, least(1.0, ((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz)) / (2*p*p*p))) AS r FROM p), "
+        "l AS (SELECT *, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l FROM r), "
+        f"w AS (SELECT id, {pick} FROM l), s AS (SELECT *, {size} FROM w), n AS (SELECT id, {best} FROM s)"
+    )
+
+
+PRODUCTS = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+
+
+@query(f"{BASE}, {PAIRS}, {KNN}, {_normal_sql('k')} SELECT id, {', '.join(f'round(n{a} * n{b}, 4) + 0.0 AS {a}{b}' for a, b in PRODUCTS)} FROM n")
 def normals_knn(spark, sf):
-    return features.normals(embedding_cloud(spark, sf), k=10)
+    """Products of the components, which don't depend on the sign."""
+    n = features.normals(embedding_cloud(spark, sf), k=10)
+    return _r(n.select("id", *[(F.col(f"n{a}") * F.col(f"n{b}")).alias(a + b) for a, b in PRODUCTS]), *[a + b for a, b in PRODUCTS], digits=4)
 
 
-@query()
+@query(f"{BASE}, {PAIRS}, dd AS (SELECT * FROM d WHERE dist < 0.1), {_normal_sql('dd')}, "
+       "f AS (SELECT emb.id, n.nx, n.ny, n.nz, CASE WHEN -x * n.nx - y * n.ny + (10.0 - z) * n.nz < 0 THEN -1 ELSE 1 END AS f FROM emb LEFT JOIN n USING (id)) "
+       "SELECT id, round(coalesce(f * nx, 0.0), 4) + 0.0 AS nx, round(coalesce(f * ny, 0.0), 4) + 0.0 AS ny, round(coalesce(f * nz, 0.0), 4) + 0.0 AS nz FROM f")
 def normals_oriented(spark, sf):
     df = embedding_cloud(spark, sf).drop("nx", "ny", "nz")
-    return features.orient_normals(df.join(features.normals(df, radius=0.1), "id"), (0.0, 0.0, 10.0)).select("id", "nx", "ny", "nz")
+    n = features.orient_normals(df.join(features.normals(df, radius=0.1), "id"), (0.0, 0.0, 10.0))
+    return _r(n.select("id", "nx", "ny", "nz"), "nx", "ny", "nz", digits=4)
 
 
 @query()
@@ -145,14 +175,31 @@ def principal_curvatures(spark, sf):
     return features.principal_curvatures(embedding_cloud(spark, sf), k=10)
 
 
-@query()
+#: Histograms of pair features in the frame u = n1, v = u x e, w = u x v.
+FPFH = (
+    "pf AS (SELECT k.id, nid, dist, emb.nx AS ux, emb.ny AS uy, emb.nz AS uz, n_nx AS mx, n_ny AS my, n_nz AS mz, dx / dist AS ex, dy / dist AS ey, dz / dist AS ez FROM k JOIN emb USING (id) WHERE dist > 0), "
+    "pv AS (SELECT *, uy * ez - uz * ey AS cx, uz * ex - ux * ez AS cy, ux * ey - uy * ex AS cz FROM pf), "
+    "pl AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS l FROM pv), "
+    "pw AS (SELECT *, CASE WHEN l > 1e-12 THEN cx / l ELSE 0.0 END AS vx, CASE WHEN l > 1e-12 THEN cy / l ELSE 0.0 END AS vy, CASE WHEN l > 1e-12 THEN cz / l ELSE 0.0 END AS vz FROM pl), "
+    "pt AS (SELECT id, nid, dist, vx * mx + vy * my + vz * mz AS alpha, ux * ex + uy * ey + uz * ez AS phi, "
+    "atan2((uy * vz - uz * vy) * mx + (uz * vx - ux * vz) * my + (ux * vy - uy * vx) * mz, ux * mx + uy * my + uz * mz) AS theta FROM pw), "
+    "pb AS (SELECT id, unnest([greatest(0, least(10, CAST(floor((alpha + 1) / 2 * 11) AS INT))), 11 + greatest(0, least(10, CAST(floor((phi + 1) / 2 * 11) AS INT))), "
+    "22 + greatest(0, least(10, CAST(floor((theta + pi() / 2) / pi() * 11) AS INT)))]) AS bin FROM pt), "
+    "pn AS (SELECT id, count(*) AS n FROM pt GROUP BY id), ph AS (SELECT id, bin, count(*) / max(n) AS h FROM pb JOIN pn USING (id) GROUP BY id, bin), "
+    "pm AS (SELECT pt.id, bin, sum(h / dist) / {k} AS w FROM pt JOIN ph ON ph.id = pt.nid GROUP BY pt.id, bin), "
+    "fp AS (SELECT emb.id, b.bin, coalesce(h, 0.0) + coalesce(w, 0.0) AS value FROM emb CROSS JOIN range(0, 33) b(bin) LEFT JOIN ph ON ph.id = emb.id AND ph.bin = b.bin LEFT JOIN pm ON pm.id = emb.id AND pm.bin = b.bin)"
+)
+
+
+@query(f"{BASE}, {PAIRS}, {KNN}, {FPFH.format(k=10)} SELECT id, CAST(bin AS INT) AS bin, round(value, 5) AS value FROM fp")
 def fpfh(spark, sf):
-    return features.fpfh(embedding_cloud(spark, sf), 10).select("id", F.posexplode("histogram").alias("bin", "value"))
+    return _r(features.fpfh(embedding_cloud(spark, sf), 10).select("id", F.posexplode("histogram").alias("bin", "value")), "value", digits=5)
 
 
-@query()
+@query(f"{BASE}, {PAIRS}, {KNN}, {FPFH.format(k=10)}, m AS (SELECT bin, avg(value) AS m FROM fp GROUP BY bin) "
+       "SELECT id, round(sqrt(sum((value - m) * (value - m))), 5) AS distance FROM fp JOIN m USING (bin) GROUP BY id")
 def fpfh_distance(spark, sf):
-    return features.fpfh_distance(features.fpfh(embedding_cloud(spark, sf), 10))
+    return _r(features.fpfh_distance(features.fpfh(embedding_cloud(spark, sf), 10)), "distance", digits=5)
 
 
 @query(f"{BASE}, {PAIRS}, {KNN}, own AS (SELECT k.*, emb.nx, emb.ny, emb.nz FROM k JOIN emb USING (id)), "
@@ -193,7 +240,10 @@ def region_growing(spark, sf):
     return cluster.region_growing(df.join(features.curvature(df, k=10), "id"), k=10, angle=0.6, min_size=5)
 
 
-@query()
+@query(f"{BASE}, {PAIRS}, {KNN.replace('rank <= 10', 'rank <= 9')}, e0 AS (SELECT k.id, k.nid FROM k JOIN emb USING (id) WHERE abs(nx * n_nx + ny * n_ny + nz * n_nz) >= cos(0.6)), "
+       "e AS (SELECT id, nid FROM e0 UNION SELECT nid, id FROM e0), reach(id, root) AS (SELECT id, id FROM emb UNION SELECT e.nid, reach.root FROM reach JOIN e ON e.id = reach.id), "
+       "root AS (SELECT id, min(root) AS root FROM reach GROUP BY id), big AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS region FROM root GROUP BY root HAVING count(*) >= 5) "
+       "SELECT id, CAST(coalesce(region, -1) AS INT) AS region FROM root LEFT JOIN big USING (root)")
 def smooth_components(spark, sf):
     return cluster.smooth_components(embedding_cloud(spark, sf), k=10, angle=0.6, min_size=5)
 
@@ -400,16 +450,29 @@ def icp_point_to_plane(spark, sf):
     return _alignment(spark, registration.icp_point_to_plane(_moved(spark, sf), embedding_cloud(spark, sf), iterations=3))
 
 
-@query()
+@query(f"{BASE}, {PAIRS}, {KNN.replace('rank <= 10', 'rank <= 8')}, {FPFH.format(k=8)}, m AS (SELECT a.id, b.id AS nid, sum((a.value - b.value) * (a.value - b.value)) AS d2 FROM fp a JOIN fp b USING (bin) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2) "
+       "SELECT id, arg_min(nid, d2) AS nid, round(min(d2), 4) AS d2 FROM m GROUP BY id")
 def feature_matches(spark, sf):
     h = features.fpfh(embedding_cloud(spark, sf), 8)
-    return registration.feature_matches(h, h)
+    return _r(registration.feature_matches(h.where("id % 2 = 0"), h.where("id % 2 = 1")), "d2", digits=4)
+
 
+@query()
+def global_registration(spark, sf):
+    """The cloud against itself, moved."""
+    e = embedding_cloud(spark, sf)
+    c, s = math.cos(0.3), math.sin(0.3)
+    turn = ((c, -s, 0.0), (s, c, 0.0), (0.0, 0.0, 1.0))
+    moved = filters.transform(e, turn, (0.2, -0.1, 0.05))
+    n = e.select("id", *[sum((F.col(f"n{b}") * turn[i][j] for j, b in enumerate("xyz")), F.lit(0.0)).alias(f"n{a}") for i, a in enumerate("xyz")])
+    got = registration.global_registration(e, moved, features.fpfh(e, 20), features.fpfh(moved.join(n, "id"), 20), iterations=200, max_distance=0.02)
+    return _alignment(spark, got)
 
-@query(f"WITH {LINE_SQL}, p AS (SELECT DISTINCT x, y FROM line) SELECT CAST(4 AS BIGINT) AS corners, round((max(x) - min(x)) * (max(y) - min(y)), 4) AS area FROM p")
+
+@query(f"WITH {LINE_SQL}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM line) "
+       "SELECT round(x, 6) AS x, round(y, 6) AS y, round((x1 - x0) * (y1 - y0), 4) AS area FROM b, (SELECT x0 AS x, y0 AS y FROM b UNION SELECT x0, y1 FROM b UNION SELECT x1, y0 FROM b UNION SELECT x1, y1 FROM b)")
 def convex_hull(spark, sf):
-    h = surface.convex_hull_2d(lineitem_cloud(spark, sf))
-    return h.agg(F.count(F.lit(1)).alias("corners"), F.round(F.max("area"), 4).alias("area"))
+    return _r(_r(surface.convex_hull_2d(lineitem_cloud(spark, sf)).select("x", "y", "area"), "x", "y"), "area", digits=4)
 
 
 @query()
@@ -445,12 +508,19 @@ def box_select_xray(spark, sf):
     return pick.box_select(embedding_cloud(spark, sf), VP, 640, 480, 300, 200, 360, 280, xray=True)
 
 
-@query()
+SCREEN = (
+    "s AS (SELECT id, (2 * x / (z + 2) + 1) / 2 * 640 AS sx, (1 - 2 * y / (z + 2)) / 2 * 480 AS sy, z + 2 AS w FROM emb WHERE z + 2 > 1e-9), "
+    "f AS (SELECT a.id, min(b.w) AS front FROM s a JOIN s b ON abs(floor(a.sx) - floor(b.sx)) <= 1 AND abs(floor(a.sy) - floor(b.sy)) <= 1 GROUP BY a.id), "
+    "v AS (SELECT s.* FROM s JOIN f USING (id) WHERE w <= front * (1 + 1e-3))"
+)
+
+
+@query(f"{BASE}, {SCREEN} SELECT id FROM v WHERE sx BETWEEN 300 AND 360 AND sy BETWEEN 200 AND 280")
 def box_select_visible(spark, sf):
     return pick.box_select(embedding_cloud(spark, sf), VP, 640, 480, 300, 200, 360, 280)
 
 
-@query()
+@query(f"{BASE}, {SCREEN}, d AS (SELECT id, w, sqrt((sx - 320) * (sx - 320) + (sy - 240) * (sy - 240)) AS d FROM v) SELECT id FROM d WHERE d <= 50 ORDER BY d, w, id LIMIT 1")
 def pick_point(spark, sf):
     return pick.pick_point(embedding_cloud(spark, sf), VP, 640, 480, 320, 240, reach=50)
 
@@ -464,11 +534,6 @@ def _splats(spark, sf):
 VIEW = ((1.0, 0, 0, 0), (0, 1.0, 0, 0), (0, 0, 1.0, 0))
 
 
-@query()
-def splat_present(spark, sf):
-    return splat.present(_splats(spark, sf))
-
-
 @query(f"{BASE}, s AS (SELECT id, x, y, z + 2 AS z, exp(-6.0) AS v FROM emb), "
        "t AS (SELECT *, greatest(-0.312, least(0.312, x / z)) AS tx, greatest(-0.312, least(0.312, y / z)) AS ty FROM s WHERE z > 1e-4) "
        "SELECT id, round(x / z * 200 + 48, 4) AS cx, round(y / z * 200 + 48, 4) AS cy, round(200 * 200 / (z * z) * v * (1 + tx * tx) + 0.3, 4) AS sxx, "
@@ -478,11 +543,6 @@ def splat_project(spark, sf):
     return _r(p.select("id", "cx", "cy", "sxx", "sxy", "syy"), "cx", "cy", "sxx", "sxy", "syy", digits=4)
 
 
-@query()
-def splat_render(spark, sf):
-    return splat.render_analytic(_splats(spark, sf), VIEW, 200.0, 64, 64)
-
-
 @query()
 def splat_monte_carlo(spark, sf):
     return splat.render_monte_carlo(_splats(spark, sf), VIEW, 200.0, 32, 32, spp=2, sets=4)
@@ -493,20 +553,22 @@ def splat_particles(spark, sf):
     return splat.particles(_splats(spark, sf))
 
 
-@query("WITH o AS (SELECT l_orderkey AS px, l_linenumber AS py, l_partkey, l_discount AS d FROM lineitem), "
-       "w AS (SELECT px, py, l_partkey, d, sum(ln(1 - d)) OVER (PARTITION BY px, py ORDER BY l_partkey, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM o) "
-       "SELECT px, py, round(sum(exp(coalesce(s, 0.0)) * d), 6) AS coverage FROM w GROUP BY px, py")
+@query("WITH o AS (SELECT l_orderkey % 97 AS px, l_linenumber AS py, l_partkey, l_discount AS d, l_tax AS t, l_orderkey * 100000 + l_suppkey AS i FROM lineitem), "
+       "w AS (SELECT *, exp(coalesce(sum(ln(1 - d)) OVER (PARTITION BY px, py ORDER BY l_partkey, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS t0 FROM o), "
+       "v AS (SELECT *, CASE WHEN t0 > 1e-9 THEN t0 * d ELSE 0.0 END AS v FROM w) "
+       "SELECT px, py, round(sum(v * t), 7) AS r, round(sum(v * d), 7) AS g, round(sum(v * l_partkey / 1000.0), 5) AS b, round(sum(v), 7) AS coverage FROM v GROUP BY px, py")
 def composite(spark, sf):
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
-    layers = t.select(F.col("l_orderkey").alias("px"), F.col("l_linenumber").alias("py"), F.col("l_partkey").alias("depth"), F.col("l_discount").alias("id"),
-                      *[F.lit(1.0).alias(c) for c in "rgb"], F.col("l_discount").alias("a"))
-    return _r(splat.composite(layers).select("px", "py", "coverage"), "coverage")
+    layers = t.select((F.col("l_orderkey") % 97).alias("px"), F.col("l_linenumber").alias("py"), F.col("l_partkey").alias("depth"), (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("id"),
+                      F.col("l_tax").alias("r"), F.col("l_discount").alias("g"), (F.col("l_partkey") / 1000.0).alias("b"), F.col("l_discount").alias("a"))
+    return _r(_r(splat.composite(layers), "r", "g", "coverage", digits=7), "b", digits=5)
 
 
-@query("SELECT user_id AS id, event_type AS metric, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2")
+@query("WITH g AS (SELECT user_id AS id, event_type AS metric, avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM events GROUP BY 1, 2) "
+       f"SELECT id, metric, round(mean, 6) AS mean, round(sd, 6) AS sd, n, round(CASE WHEN n > 1 THEN [{', '.join(map(str, agg.T95))}][least(30, n - 1)] * sd / sqrt(n) ELSE 0.0 END, 6) AS ci95 FROM g")
 def group_means(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("id"), F.col("event_type").alias("metric"), "value")
-    return _r(agg.confidence(e, ["id", "metric"], "value").select("id", "metric", "mean", "n"), "mean")
+    return _r(agg.confidence(e, ["id", "metric"], "value").select("id", "metric", "mean", "sd", "n", "ci95"), "mean", "sd", "ci95")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -514,12 +576,12 @@ def event_windows(spark, sf):
     return _r(accumulate.event_windows(spark.read.parquet(f"{sf}/events.parquet")), "total", digits=4)
 
 
-@query("SELECT l_orderkey % 5 AS version, CAST(l_linenumber AS INT) AS px, 0 AS py, round(avg(l_discount), 6) AS r, count(*) AS samples FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey % 5 AS version, CAST(l_linenumber AS INT) AS px, 0 AS py, round(avg(l_discount), 6) AS r, round(avg(l_tax), 6) AS g, round(avg(l_tax * l_discount), 6) AS b, count(*) AS samples FROM lineitem GROUP BY 1, 2")
 def running_mean(spark, sf):
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
     s = t.select((F.col("l_orderkey") % 5).alias("version"), F.col("l_linenumber").cast("int").alias("px"), F.lit(0).alias("py"),
-                 F.col("l_discount").alias("r"), F.col("l_tax").alias("g"), F.col("l_tax").alias("b"))
-    return _r(accumulate.running_mean(s).select("version", "px", "py", "r", "samples"), "r")
+                 F.col("l_discount").alias("r"), F.col("l_tax").alias("g"), (F.col("l_tax") * F.col("l_discount")).alias("b"))
+    return _r(accumulate.running_mean(s).select("version", "px", "py", "r", "g", "b", "samples"), "r", "g", "b")
 
 
 @query("WITH a AS (SELECT l_suppkey AS px, l_linenumber AS py, avg(l_discount) AS u, avg(l_tax) AS v FROM lineitem GROUP BY 1, 2) "
@@ -531,11 +593,12 @@ def image_psnr(spark, sf):
     return _r(_r(splat.psnr(a, b), "mse", digits=8), "psnr", digits=4)
 
 
-@query()
-def generated_sphere(spark, sf):
-    return generators.sphere(spark, n=1000)
-
-
 @query()
 def content_hash(spark, sf):
     return agg.content_hash(embedding_cloud(spark, sf))
+
+
+from . import registry_formulas  # noqa: E402
+
+QUERIES.update(registry_formulas.QUERIES)
+ORACLE_SQL.update(registry_formulas.ORACLE_SQL)

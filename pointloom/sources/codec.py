@@ -114,23 +114,32 @@ def ascii_rows(lines: list[str], dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def ply_bytes(cols: dict[str, np.ndarray], binary: bool = True) -> bytes:
+def _ply_fields(names) -> list[tuple[str, str, str]]:
+    """(column, property, type) of the columns there are."""
+    fields = [(c, c, "f4") for c in ("x", "y", "z", "nx", "ny", "nz", "radius") if c in names]
+    return fields + ([(c, n, "u1") for c, n in zip("rgb", ("red", "green", "blue"), strict=True)] if "r" in names else [])
+
+
+def ply_head(names, n: int, binary: bool = True) -> bytes:
+    head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", f"element vertex {n}"]
+    head += [f"property {'uchar' if t == 'u1' else 'float'} {a}" for _, a, t in _ply_fields(names)] + ["end_header", ""]
+    return "\n".join(head).encode()
+
+
+def ply_body(cols: dict[str, np.ndarray], binary: bool = True) -> bytes:
     """x, y, z and what there is of normals, radius and r, g, b (0-1, written as
     rounded bytes; NaN as 0)."""
-    fields = [(c, "f4", cols[c]) for c in ("x", "y", "z", "nx", "ny", "nz", "radius") if c in cols]
-    if "r" in cols:
-        for c, n in zip("rgb", ("red", "green", "blue"), strict=True):
-            fields.append((n, "u1", np.floor(np.clip(np.nan_to_num(cols[c]), 0, 1) * 255 + 0.5)))
-    n = len(cols["x"])
-    rows = np.zeros(n, np.dtype([(a, "<" + t if t != "u1" else t) for a, t, _ in fields]))
-    for a, _, v in fields:
-        rows[a] = v
-    head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", f"element vertex {n}"]
-    head += [f"property {'uchar' if t == 'u1' else 'float'} {a}" for a, t, _ in fields] + ["end_header", ""]
+    fields = _ply_fields(cols)
+    rows = np.zeros(len(cols["x"]), np.dtype([(a, "<" + t if t != "u1" else t) for _, a, t in fields]))
+    for c, a, t in fields:
+        rows[a] = cols[c] if t != "u1" else np.floor(np.clip(np.nan_to_num(cols[c]), 0, 1) * 255 + 0.5)
     if binary:
-        return "\n".join(head).encode() + rows.tobytes()
-    body = "".join(" ".join(str(v) if isinstance(v, int) else f"{v:.6f}" for v in r) + "\n" for r in rows.tolist())
-    return "\n".join(head).encode() + body.encode()
+        return rows.tobytes()
+    return "".join(" ".join(str(v) if isinstance(v, int) else f"{v:.6f}" for v in r) + "\n" for r in rows.tolist()).encode()
+
+
+def ply_bytes(cols: dict[str, np.ndarray], binary: bool = True) -> bytes:
+    return ply_head(cols, len(cols["x"]), binary) + ply_body(cols, binary)
 
 
 @dataclass
@@ -170,12 +179,17 @@ def unpack_rgb(packed: np.ndarray) -> list[np.ndarray]:
     return [(bits >> np.uint32(s) & np.uint32(255)).astype(float) / 255 for s in (16, 8, 0)]
 
 
-def pcd_bytes(cols: dict[str, np.ndarray], binary: bool = True) -> bytes:
-    n = len(cols["x"])
-    head = f"# .PCD v0.7 - Point Cloud Data file format\nVERSION 0.7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA {'binary' if binary else 'ascii'}\n"
+def pcd_head(n: int, binary: bool = True) -> bytes:
+    return f"# .PCD v0.7 - Point Cloud Data file format\nVERSION 0.7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA {'binary' if binary else 'ascii'}\n".encode()
+
+
+def pcd_body(cols: dict[str, np.ndarray], binary: bool = True) -> bytes:
     p = np.stack([cols[a] for a in "xyz"], 1)
-    body = p.astype("<f4").tobytes() if binary else "".join("%.6f %.6f %.6f\n" % tuple(r) for r in p.tolist()).encode()
-    return head.encode() + body
+    return p.astype("<f4").tobytes() if binary else "".join("%.6f %.6f %.6f\n" % tuple(r) for r in p.tolist()).encode()
+
+
+def pcd_bytes(cols: dict[str, np.ndarray], binary: bool = True) -> bytes:
+    return pcd_head(len(cols["x"]), binary) + pcd_body(cols, binary)
 
 
 SPLAT_BYTES = 32
@@ -208,15 +222,22 @@ def splat_bytes(p, scale, f_dc, opacity, rot) -> bytes:
 POINT_SET_MAGIC = b"PSET"
 
 
+def point_set_groups(names) -> list[tuple[str, ...]]:
+    """The columns of the body's stretches, in their order."""
+    return [("x", "y", "z"), ("r", "g", "b"), ("radius",)] + ([("nx", "ny", "nz")] if "nx" in names else [])
+
+
+def point_set_head(names, n: int, body_hash: int) -> bytes:
+    """Magic, version, flags, count, hash of the body (FNV-1a)."""
+    return struct.pack("<4sIIIQQ", POINT_SET_MAGIC, 1, int("nx" in names), 0, n, body_hash)
+
+
 def point_set_bytes(cols: dict[str, np.ndarray]) -> bytes:
-    """Magic, version, flags, count, hash of the body (FNV-1a); then positions, colours, radii, and
-    normals if there are any, as floats."""
+    """The head; then positions, colours, radii, and normals if there are any, as floats."""
     from ..operators.aggregates import fnv1a64
 
-    has = "nx" in cols
-    groups = [("x", "y", "z"), ("r", "g", "b"), ("radius",)] + ([("nx", "ny", "nz")] if has else [])
-    body = b"".join(np.stack([cols[c] for c in g], 1).astype("<f4").tobytes() for g in groups)
-    return struct.pack("<4sIIIQQ", POINT_SET_MAGIC, 1, int(has), 0, len(cols["x"]), fnv1a64(body)) + body
+    body = b"".join(np.stack([cols[c] for c in g], 1).astype("<f4").tobytes() for g in point_set_groups(cols))
+    return point_set_head(cols, len(cols["x"]), fnv1a64(body)) + body
 
 
 def point_set_columns(data: bytes) -> dict[str, np.ndarray]:

@@ -9,7 +9,9 @@ ranges. ``id`` is the row's place in the file, fixed at the source.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..plans.filestore import read_bytes, read_range, write_bytes
-from .codec import HEADER_LIMIT, SPLAT_BYTES, ascii_rows, pcd_bytes, pcd_header, ply_bytes, ply_header, point_set_bytes, point_set_columns, splat_records, unpack_rgb, vertex_columns
+from ..operators.aggregates import fnv1a64
+from ..plans.filestore import read_bytes, read_range, remove_tree, write_bytes
+from .codec import (
+    HEADER_LIMIT, SPLAT_BYTES, ascii_rows, pcd_body, pcd_head, pcd_header, ply_body, ply_head, ply_header, point_set_columns, point_set_groups, point_set_head, splat_records,
+    unpack_rgb, vertex_columns,
+)
 
 ROWS = 1 << 20
 POINT = "id bigint, x double, y double, z double, r double, g double, b double, nx double, ny double, nz double, radius double"
@@ -35,12 +41,32 @@ def ranges(n: int, rows: int = ROWS) -> list[Range]:
     return [Range(i, min(rows, n - i)) for i in range(0, n, rows)] or [Range(0, 0)]
 
 
-def _point_rows(cols: dict[str, np.ndarray], start: int) -> Iterator[tuple]:
-    n = len(cols["x"])
+def _batches(columns: dict, start: int, n: int) -> Iterator:
+    """Arrow batches of columns (arrays, rows of arrays, or None) with their ids."""
+    import pyarrow as pa
+
+    for at in range(0, n, 65_536):
+        end = min(n, at + 65_536)
+        out = {"id": pa.array(np.arange(start + at, start + end), pa.int64())}
+        for name, c in columns.items():
+            if c is None:
+                out[name] = pa.nulls(end - at, pa.float64())
+            elif c.ndim == 2:
+                flat = pa.array(np.ascontiguousarray(c[at:end]).ravel(), pa.float64())
+                out[name] = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1) * c.shape[1], pa.int32()), flat)
+            else:
+                out[name] = pa.array(c[at:end], pa.int32() if c.dtype.kind == "i" else pa.float64())
+        yield pa.RecordBatch.from_pydict(out)
+
+
+def _point_rows(cols: dict[str, np.ndarray], start: int) -> Iterator:
     names = ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz", "radius")
-    lists = [cols[c].tolist() if c in cols else [None] * n for c in names]
-    for i, row in enumerate(zip(*lists, strict=True)):
-        yield (start + i, *row)
+    return _batches({c: np.asarray(cols[c], float) if c in cols else None for c in names}, start, len(cols["x"]))
+
+
+def _splat_batches(p, normal, dc, o, s, q, degree, h, start: int) -> Iterator:
+    cols = {a: p[:, k] for k, a in enumerate("xyz")} | {f"n{a}": normal[:, k] for k, a in enumerate("xyz")}
+    return _batches(cols | {"f_dc": dc, "opacity": o, "scale": s, "rot": q, "sh_degree": degree, "sh_rest": h}, start, len(p))
 
 
 def sh_degree(rest: int) -> int:
@@ -94,8 +120,7 @@ def splat_rows(r: np.ndarray, start: int) -> Iterator[tuple]:
     normal = take(["nx", "ny", "nz"]) if all(f"n{a}" in names for a in "xyz") else np.zeros((len(r), 3))
     p, dc, s, q, h = take(["x", "y", "z"]), take(need[3:6]), take(need[7:10]), take(need[10:14]), take(rest)
     o, degree = r["opacity"].astype(float), sh_degree(len(rest))
-    for i in range(len(r)):
-        yield (start + i, *p[i].tolist(), *normal[i].tolist(), dc[i].tolist(), float(o[i]), s[i].tolist(), q[i].tolist(), degree, h[i].tolist())
+    yield from _splat_batches(p, normal, dc, o, s, q, np.full(len(r), degree, np.int32), h, start)
 
 
 class PlySource(DataSource):
@@ -170,8 +195,8 @@ class _SplatReader(DataSourceReader):
 
     def read(self, part: Range):
         d = splat_records(read_range(self.path, part.start * SPLAT_BYTES, part.count * SPLAT_BYTES))
-        for i in range(part.count):
-            yield (part.start + i, *d["p"][i].tolist(), 0.0, 0.0, 0.0, d["f_dc"][i].tolist(), float(d["opacity"][i]), d["scale"][i].tolist(), d["rot"][i].tolist(), 0, [])
+        n = part.count
+        yield from _splat_batches(d["p"], np.zeros((n, 3)), d["f_dc"], d["opacity"], d["scale"], d["rot"], np.zeros(n, np.int32), np.zeros((n, 0)), part.start)
 
 
 class SplatSource(DataSource):
@@ -314,29 +339,48 @@ def unpack_splats(packed: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    names = [c for c in ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz", "radius") if c in df.columns]
-    p = df.orderBy("id").select(*names).toPandas()
-    return {c: p[c].to_numpy(float) for c in names if not p[c].isna().any() or not len(p)}
+def _txt_body(cols: dict[str, np.ndarray], binary: bool = False) -> bytes:
+    names = [c for c in "xyzrgb" if c in cols]
+    return "".join(" ".join(f"{v:.6f}" for v in r) + "\n" for r in zip(*[cols[c].tolist() for c in names], strict=True)).encode()
 
 
 def save(df: DataFrame, path: str, binary: bool = True) -> None:
-    """One interchange file by extension. The rows pass through the driver in id
-    order; large clouds belong in Parquet."""
+    """One interchange file by extension (.ply, .pcd, .txt, .pset), rows in id order.
+    Columns with a null are left out. Tasks encode ranges of ids and write them beside
+    the file; the driver then strings the pieces together, one at a time."""
     ext = os.path.splitext(path)[1].lower()
-    cols = _columns(df)
-    if ext == ".ply":
-        data = ply_bytes(cols, binary)
-    elif ext == ".pcd":
-        data = pcd_bytes(cols, binary)
-    elif ext == ".txt":
-        names = [c for c in "xyzrgb" if c in cols]
-        data = "".join(" ".join(f"{v:.6f}" for v in r) + "\n" for r in zip(*[cols[c].tolist() for c in names], strict=True)).encode()
-    elif ext == ".pset":
-        data = point_set_bytes(cols)
-    else:
+    if ext not in (".ply", ".pcd", ".txt", ".pset"):
         raise ValueError(f"unknown extension {ext!r}")
-    write_bytes(path, [data])
+    known = [c for c in ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz", "radius") if c in df.columns]
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in known]).first()
+    n, names = seen["n"], [c for c in known if seen[c] == seen["n"]]
+    groups = point_set_groups(names) if ext == ".pset" else [tuple(names)]
+    body = {".ply": ply_body, ".pcd": pcd_body, ".txt": _txt_body}.get(ext)
+    out = f"{path}.{uuid.uuid4().hex}.parts"
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for seq, b in enumerate(batches):
+            cols = {c: b[c].to_numpy(float) for c in names}
+            for k, g in enumerate(groups):
+                data = np.stack([cols[c] for c in g], 1).astype("<f4").tobytes() if body is None else body(cols, binary)
+                write_bytes(f"{out}/{k}-{part:06d}-{seq:06d}", [data])
+                yield pd.DataFrame([(k, part, seq)], columns=["k", "part", "seq"])
+
+    ranged = df.select("id", *names).repartitionByRange("id").sortWithinPartitions("id")
+    pieces = sorted(map(tuple, ranged.mapInPandas(encode, "k int, part int, seq int").collect()))  # a row for each piece of some thousands of points
+    each = lambda: (read_bytes(f"{out}/{k}-{p:06d}-{s:06d}") for k, p, s in pieces)
+    if ext == ".pset":
+        h = fnv1a64(b"")
+        for piece in each():
+            h = fnv1a64(piece, h)
+        head = point_set_head(names, n, h)
+    else:
+        head = ply_head(names, n, binary) if ext == ".ply" else pcd_head(n, binary) if ext == ".pcd" else b""
+    write_bytes(path, chain([head], each()))
+    remove_tree(out)
 
 
 def save_text_distributed(df: DataFrame, path: str) -> None:
