@@ -101,15 +101,18 @@ def _start_width(points: DataFrame, width: float, k: int) -> float:
     """A cube's width at which a point's own cube holds some 8 k points on average over the
     points. The bounding box alone would put a dense cluster with one far point into
     one cube; points in thinner regions settle in later rounds, when cubes have grown."""
-    before = float("inf")
-    for _ in range(60):
+    seen = []
+    floor, target = width * 1e-15, 8 * max(k, 1)
+    while width > floor:
         c = with_cells(points, width).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("c"))
         mean = c.agg(F.sum(F.col("c").cast("double") * F.col("c")) / F.sum("c")).first()[0]
-        if mean <= 8 * max(k, 1) or mean > 0.97 * before and before < float("inf"):  # copies of a point can't be parted
-            return width
-        before = mean
-        width /= min(64.0, max(2.0, (mean / (8 * max(k, 1))) ** 0.5))
-    return width
+        stuck = bool(seen) and mean > 0.97 * seen[-1][0]
+        seen.append((mean, width))
+        if mean <= target:
+            break
+        width /= 64.0 if stuck else min(64.0, max(2.0, (mean / target) ** 0.5))
+    least = min(m for m, _ in seen)
+    return max(w for m, w in seen if m <= max(target, 1.03 * least))  # copies of a point can't be parted
 
 
 def _candidates(q: DataFrame, p: DataFrame, width: float, exclude_self: bool, carry: tuple[str, ...]) -> DataFrame:

@@ -26,7 +26,10 @@ def version_key(params: dict) -> int:
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts and sums of events in windows, closed by a watermark."""
+    """Counts and sums of events in windows, closed by a watermark. A stream's
+    watermark needs instants: its local times are taken in the session's zone."""
+    if events.isStreaming and events.schema["ts"].dataType.simpleString() == "timestamp_ntz":
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "event_type")

@@ -193,7 +193,20 @@ def test_streams_run(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want))
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     e.write.parquet(str(tmp_path / "e"))
-    w = run_stream(spark, accumulate.event_windows(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))), "update", "windows")
-    batch = accumulate.event_windows(e).collect()
-    assert {(r["start"], r["event_type"], r["n"]) for r in w} == {(r["start"], r["event_type"], r["n"]) for r in batch}
-    assert callable(lod.lod_states)
+    named = lambda df: df.select(F.date_format("start", "yyyy-MM-dd HH").alias("h"), "event_type", "n")
+    w = run_stream(spark, named(accumulate.event_windows(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")))), "update", "windows")
+    assert set(map(tuple, w)) == set(map(tuple, named(accumulate.event_windows(e)).collect()))
+
+
+def test_level_of_detail_as_a_stream(spark, tmp_path):
+    frames = [("a", k, k < 2, 30.0) for k in range(12)] + [("b", k, True, 100.0) for k in range(5)]
+    t = spark.createDataFrame(frames, "viewer string, seq bigint, moved boolean, frame_ms double")
+    t.write.parquet(str(tmp_path / "f"))
+    got = run_stream(spark, lod.lod_states(spark.readStream.schema(t.schema).parquet(str(tmp_path / "f"))), "append", "lod")
+    want = []
+    for viewer in "ab":
+        c = lod.LodController(100.0, 20.0, 40.0, 64)
+        for v, k, moving, ms in frames:
+            if v == viewer:
+                want.append((v, k, c.step(moving, ms), c.repeats, c.total))
+    assert sorted(map(tuple, got)) == sorted(want)
