@@ -262,3 +262,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) ->
         else:
             cols.append(F.col(f"`{f.name}`"))
     return rows.select(cols)
+
+
+#: The same by joining the strings of all windows.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS i FROM documents),
+  b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  p AS (SELECT DISTINCT item, least(len(w), 8) AS n, array_to_string(w[k:k + least(len(w), 8) - 1], ' ') AS words FROM b, range(1, (SELECT max(len(w)) + 2 FROM b)) AS r(k) WHERE len(w) > 0 AND k <= greatest(1, len(w) - 7)),
+  s AS (SELECT DISTINCT n FROM p),
+  e AS (SELECT i, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+  m AS (SELECT i, k, p.n, item FROM (SELECT i, k, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM e, s WHERE k + n - 1 <= len(w)) JOIN p USING (n, words)),
+  h AS (SELECT i, count(DISTINCT c) AS n_hit FROM (SELECT i, unnest(range(k, k + n)) AS c FROM (SELECT DISTINCT i, k, n FROM m)) GROUP BY i),
+  t AS (SELECT i, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT i, item FROM m) GROUP BY i)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN h USING (i) LEFT JOIN t USING (i)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, rules
+from . import decontaminate, licenses, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": rules.SQL,
+    "op9_benchmark_decontamination": decontaminate.SQL,
     "op10_license_scans": licenses.SQL,
 }
