@@ -109,8 +109,8 @@ WINDOWS = (1, 2, 4, 8, 16)
 
 
 def _morph(grid: DataFrame, r: int, f) -> DataFrame:
-    """Square minimum or maximum over cells with data; two passes, one an axis, on
-    ranges of the cell numbers, over the full grid of rows that have data nearby."""
+    """Square minimum or maximum over cells with data; two passes, one an axis: each
+    cell goes to the 2 r + 1 cells around it and an aggregate that combines on the map side is taken there."""
     around = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r)).alias(c)
     one = grid.select(around("ix"), "iy", "z").groupBy("ix", "iy").agg(f("z").alias("z"))
     return one.select("ix", around("iy"), "z").groupBy("ix", "iy").agg(f("z").alias("z"))

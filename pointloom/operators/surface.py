@@ -59,6 +59,26 @@ def convex_hull_2d(df: DataFrame) -> DataFrame:
     return corners.groupBy(F.lit(0).alias("all")).applyInPandas(whole, "i int, x double, y double, area double")
 
 
+def plane_hull(df: DataFrame, plane: tuple) -> DataFrame:
+    """``(i, x, y, z)``: the hull of the cloud's projections onto a plane (a, b, c, d), in space."""
+    n = np.asarray(plane[:3], float)
+    size = np.linalg.norm(n)
+    n, d = n / size, float(plane[3]) / size
+    u = np.cross(n, [1.0, 0, 0] if abs(n[0]) < 0.9 else [0, 1.0, 0])
+    u /= np.linalg.norm(u)
+    v = np.cross(n, u)
+    dot = lambda w: sum((F.col(a) * float(k) for a, k in zip("xyz", w, strict=True)), F.lit(0.0))
+    flat = convex_hull_2d(df.select(dot(u).alias("x"), dot(v).alias("y")))
+    return flat.select("i", *[(F.col("x") * float(u[k]) + F.col("y") * float(v[k]) - d * float(n[k])).alias(a) for k, a in enumerate("xyz")])
+
+
+def hull_fan(hull: DataFrame) -> DataFrame:
+    """Faces ``(a, b, c)`` that fill a hull (i, ...) from its first corner."""
+    last = hull.agg(F.max("i").alias("last"))
+    inner = hull.crossJoin(F.broadcast(last)).where("i >= 1 AND i < last")  # one row
+    return inner.select(F.lit(0).alias("a"), F.col("i").alias("b"), (F.col("i") + 1).alias("c"))
+
+
 def _cross(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 

@@ -7,6 +7,7 @@ metric is asked for. Answers: ``OK``, ``Id:n``, ``Count:n``, ``Yes``/``No``, a v
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -68,6 +69,17 @@ class World:
         return self.spark.createDataFrame(rows, "scene_id int, name string, visible boolean, view_name string, has_normals boolean")
 
 
+log = logging.getLogger(__name__)
+
+
+def strict_numbers(arg: str, count: int) -> list[float]:
+    """Exactly ``count`` comma-separated numbers; anything else is refused."""
+    parts = arg.split(",")
+    if len(parts) != count:
+        raise ValueError(f"{count} numbers wanted, {len(parts)} given")
+    return [float(p) for p in parts]
+
+
 def numbers(arg: str, *defaults: float) -> list[float]:
     """Comma-separated numbers; what is missing or unreadable takes its default."""
     parts, out = arg.split(",") if arg else [], []
@@ -117,7 +129,7 @@ class Dispatcher:
         }
         for kind in fitting.KINDS:
             c[f"Ransac{kind.capitalize()}"] = lambda a, k=kind: self._ransac(k, a)
-        self.commands = c | {"CheckCommandCatalog": lambda a: "OK"}
+        self.commands = c | {"CheckCommandCatalog": lambda a: self._catalog()}
 
     def run(self, line: str) -> str:
         name, _, arg = line.strip().partition(":")
@@ -126,8 +138,15 @@ class Dispatcher:
                 return f"Error:unknown command {name}"
             return self.commands[name](arg)
         except Exception as e:
+            log.warning("command %s failed", name, exc_info=True)
             return f"Error:{str(e).splitlines()[0] if str(e) else type(e).__name__}"
 
+    def _catalog(self) -> str:
+        """OK if every command can be called by its name and no two differ by case alone."""
+        low = [n.lower() for n in self.commands]
+        bad = [n for n, f in self.commands.items() if not callable(f) or not n.isidentifier() or low.count(n.lower()) > 1]
+        return f"Error:{','.join(bad)}" if bad else "OK"
+
     def _scene(self, arg: str) -> Scene:
         part = arg.split(",")[0].strip()
         return self.w.find(int(float(part)) if part else self.w.active if self.w.active is not None else self.w.next_id - 1)

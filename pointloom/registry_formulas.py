@@ -695,3 +695,32 @@ def rigid_sums(spark, sf):
     moved = e.select("id", (F.col("x") * 0.9 + 0.01).alias("x"), (F.col("y") * 0.9).alias("y"), (F.col("z") * 0.9 - 0.01).alias("z"))
     s = registration.rigid_sums(registration.matches(moved, e, 0.0))
     return s.select(*[F.round(f"h{a}{b}", 5).alias(f"h{a}{b}") for a in "xyz" for b in "xyz"], F.round("fitness", 8).alias("fitness"))
+
+
+_BYTE = "CAST(floor({} * 255 + 0.5) AS BIGINT)"
+
+
+@query("WITH p AS (SELECT l_suppkey AS px, l_linenumber AS py, CAST(round(l_extendedprice / 1000) AS FLOAT) AS d, "
+       f"{_BYTE.format('l_discount')} * 65536 + {_BYTE.format('l_tax')} * 256 + {_BYTE.format('l_quantity / 50.0')} AS k FROM lineitem) "
+       "SELECT px, py, CAST(min(d) AS DOUBLE) AS depth, arg_min(k, d * 16777216.0::DOUBLE + k) AS packed FROM p GROUP BY px, py")
+def scatter_nearest(spark, sf):
+    """The nearest point of each pixel, at equal depth the least colour."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet")
+    p = t.select(F.col("l_suppkey").alias("px"), F.col("l_linenumber").alias("py"), F.round(F.col("l_extendedprice") / 1000).alias("depth"),
+                 F.col("l_discount").alias("r"), F.col("l_tax").alias("g"), (F.col("l_quantity") / 50.0).alias("b"))
+    return splat.scatter(p, "px", "py").select("px", "py", F.col("depth").cast("double").alias("depth"), "packed")
+
+
+@query()
+def splat_particles_3d(spark, sf):
+    return splat.render_particles(_splats(spark, sf), VIEW, 60.0, 24, 24, radial=True, sets=4)
+
+
+@query(f"{WIDE}, b AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM (SELECT round(x, 1) AS x, round(y, 1) AS y FROM wide)), "
+       "c AS (SELECT x0 AS x, y0 AS y FROM b UNION SELECT x0, y1 FROM b UNION SELECT x1, y0 FROM b UNION SELECT x1, y1 FROM b) SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, 0.5 AS z FROM c")
+def plane_hull(spark, sf):
+    """The hull of the corners of the cloud's box, in a plane."""
+    e = embedding_cloud(spark, sf).select(F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), "z")
+    b = e.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    c = b.select(F.inline(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0.0).alias("z")) for x in ("x0", "x1") for y in ("y0", "y1")])))
+    return surface.plane_hull(c, (0.0, 0.0, 1.0, -0.5)).select((F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"), F.round("z", 6).alias("z"))

@@ -210,3 +210,27 @@ def test_level_of_detail_as_a_stream(spark, tmp_path):
             if v == viewer:
                 want.append((v, k, c.step(moving, ms), c.repeats, c.total))
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_particles_meet_the_analytic_image(spark):
+    rows = [(0, 0.0, 0.0, 2.0, [1.0, 0.2, 0.0], 0.4, [-1.6, -1.9, -1.7], [0.9, 0.1, 0.2, 0.0]), (1, 0.15, 0.1, 3.0, [0.0, 0.5, 1.0], 1.5, [-1.2, -1.4, -1.5], [1.0, 0.0, 0.0, 0.3])]
+    s = spark.createDataFrame(rows, "id bigint, x double, y double, z double, f_dc array<double>, opacity double, scale array<double>, rot array<double>")
+    view = ((1.0, 0, 0, 0), (0, 1.0, 0, 0), (0, 0, 1.0, 0))
+    want = splat.render_analytic(s, view, 40.0, 24, 24).cache()
+    near = splat.psnr(want, splat.render_particles(s, view, 40.0, 24, 24, radial=True, centre_depth=True, sets=100)).first()["psnr"]
+    plain = splat.psnr(want, splat.render_particles(s, view, 40.0, 24, 24, level="none", base=30.0, rule="proportional", sets=20)).first()["psnr"]
+    assert near >= 25 and near > plain
+    drawn = splat.render_monte_carlo(s, view, 40.0, 24, 24, sets=100).cache()
+    assert splat.psnr(want, drawn).first()["psnr"] >= 30 and splat.ssim(want, drawn, 24, 24).first()["ssim"] >= 0.95
+
+
+def test_hull_fan_and_commands(spark, make):
+    h = surface.plane_hull(make([(0, 0, 5), (1, 0, 1), (1, 1, 2), (0, 1, 3), (0.5, 0.5, 9)]), (0.0, 0.0, 2.0, -8.0))
+    assert h.count() == 4 and {round(r.z, 9) for r in h.collect()} == {4.0}
+    assert sorted(map(tuple, surface.hull_fan(h).collect())) == [(0, 1, 2), (0, 2, 3)]
+    from pointloom.operators import world
+
+    assert world.strict_numbers("1,2.5", 2) == [1.0, 2.5] and world.Dispatcher(world.World(spark)).run("CheckCommandCatalog") == "OK"
+    for bad in ("1", "1,x", "1,2,3"):
+        with pytest.raises(ValueError):
+            world.strict_numbers(bad, 2)
