@@ -43,6 +43,8 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22
 #: Pre-tokens that a worker remembers, and the longest.
 KNOWN, LONGEST = 800_000, 64
+#: Characters after which a worker stops taking texts to encode at once.
+AT_ONCE = 1 << 22
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -146,9 +148,9 @@ class Encoder:
     token or a character beyond U+017F (there NFC changes nothing and
     lower-casing goes character by character) the text is lower-cased and split
     here, by the file's own pattern, and the library encodes each distinct
-    pre-token once; the worker keeps their ids in a bounded table. Other texts go
-    through the library as they are. Vocabulary files of another build are
-    refused."""
+    pre-token once, thousands in one text with a mark between them; the worker keeps
+    their ids in a bounded table. Other texts go through the library as they are.
+    Vocabulary files of another build are refused."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -168,7 +170,12 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = None
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # pre-tokens hold no white space
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        # a capital letter, which no lower-cased pre-token holds, and so no other pre-token has its id
+        (self.mark,) = self.pieces.encode("A", add_special_tokens=False).ids
         # up to U+017F the pattern's classes are short lists, and the plain re module is faster with them
         plain = split["pattern"]["Regex"].replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N"))
         self.find = re.compile(plain.replace(r"\s", "\t-\r \x85\xa0")).findall
@@ -181,23 +188,27 @@ class Encoder:
             return False
         return any(t in text for t in self.added) or not text.isascii() and self.wide(text) is not None
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some pre-tokens, by one call of the library."""
+        (e,) = self.pieces.encode_batch_fast([" A ".join(words)], add_special_tokens=False)
+        ids = array("I", e.ids)
+        ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.mark).tolist()
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(k + 1 for k in ends)], [*ends, len(ids)], strict=True)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         odd = [self.odd(t) for t in texts]
         cut_up = [[] if o else self.find((t or "").lower()) for t, o in zip(texts, odd, strict=True)]
         if len(self.known) > KNOWN:
             self.known = {}
         known, look = self.known, self.known.get
-        here = dict.fromkeys(w for words in cut_up for w in words)  # small, so the look-ups below stay in the CPU's cache
-        new = []
-        for w in here:
-            if (ids := look(w)) is None:
-                new.append(w)
-            else:
-                here[w] = ids
+        distinct = set().union(*cut_up)
+        here = dict(zip(distinct, map(look, distinct), strict=True))  # small, so the look-ups below stay in the CPU's cache
+        new = [w for w, ids in here.items() if ids is None]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for w, e in zip(part, self.pieces.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                here[w] = ids = array("I", e.ids).tobytes()
+            for w, ids in zip(part, self._ids(part), strict=True):
+                here[w] = ids
                 if len(w) <= LONGEST:
                     known[w] = ids
         whole = iter(self.tokenizer.encode_batch([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
@@ -208,6 +219,16 @@ class Encoder:
         ]
 
 
+def spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Where runs of texts begin and end that reach AT_ONCE characters, and the rest."""
+    start = n = 0
+    for k, t in enumerate(texts, 1):
+        n += len(t or "")
+        if n >= AT_ONCE or k == len(texts):
+            yield start, k
+            start, n = k, 0
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -241,8 +262,8 @@ def write_token_files(
         for df in batches:
             texts = df["text"].tolist()
             names = [None if pd.isna(i) else int(i) for i in df["doc_id"].tolist()]
-            for at in range(0, len(texts), 512):
-                for name, found in zip(names[at : at + 512], enc.encode(texts[at : at + 512]), strict=True):
+            for at, to in spans(texts):
+                for name, found in zip(names[at:to], enc.encode(texts[at:to]), strict=True):
                     ids.append(name)
                     held.append(np.concatenate([found, end]))
                     n += len(held[-1])

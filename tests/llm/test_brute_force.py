@@ -240,3 +240,17 @@ def test_pipeline_stages_keep_their_contract(spark):
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1 for r in docs.collect())
     assert packed.agg(F.sum("n_tokens")).first()[0] == words
     assert json.dumps(packed.columns)
+
+
+def test_token_ids_of_many_distinct_words(spark):
+    """Some thousands of pre-tokens are encoded in one text; capitals, marks and separators must not show."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcéßA'9-.\x1c\x85\xa0") for _ in range(rng.randint(1, 7))) for _ in range(9000)]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, 9000, 300)] + ["A", " A ", "a A\x1cA", "", None, "x" * 200]
+    e = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(texts)] == want
+    calls, library = [], e.pieces
+    e.known, e.pieces = {}, type("Counted", (), {"encode_batch_fast": lambda _, t, **k: calls.append(len(t)) or library.encode_batch_fast(t, **k)})()
+    assert [x.tolist() for x in e.encode(texts)] == want and 0 < sum(calls) < 10
+    assert list(tokenfile.spans(["a" * tokenfile.AT_ONCE, None, "b", "c"])) == [(0, 1), (1, 4)] and list(tokenfile.spans([])) == []
