@@ -196,19 +196,21 @@ def write_archives(pages: DataFrame, out: str, least: int = LEAST_DUPLICATE, seg
     marked = pages.select("page_id", page.alias("page"), url.alias("url"), "html", digest("html").alias("digest"), size.alias("n"))
     # repeated rows are told apart by a running number
     rows = (
-        marked.groupBy("page_id", "page", "url", "digest", "n")
+        marked.groupBy("page_id", "url", "digest", "n")
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
         .drop("copies")
     )
-    rows = cut(rows.withColumn("name", name("page", "url", "digest", F.col("copy").cast("string"))))
+    # names and pages as text follow from the other columns and are not stored with them
+    rows = cut(rows).withColumn("page", page)
+    named = lambda df: df.withColumn("name", name("page", "url", "digest", F.col("copy").cast("string")))
     best = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url", "copy")).alias("best"))
     told = rows.join(best, "digest", "left").withColumn(
         "response",
         F.col("best").isNull() | (F.struct("page_id", "url", "copy").eqNullSafe(F.col("best"))),
     )
-    first = told.where("response").select("digest", "page", "url", "name", "copy")
-    revisits = told.where("NOT response").alias("r").join(
+    first = named(told.where("response").select("digest", "page", "url", "copy"))
+    revisits = named(told.where("NOT response")).alias("r").join(
         first.select("digest", F.col("name").alias("refers")).alias("f"), "digest"
     )
     # a response takes its text from a row with the same page, url and digest; of repeated ones the writer needs as many as there are responses
@@ -258,7 +260,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     total = head.get("warc-segment-total-length")
                     rows.append(
                         (
-                            head.get("warc-segment-origin-id", head["warc-record-id"]), kind, head.get("x-page"), head.get("warc-refers-to"), sha,
+                            head.get("warc-segment-origin-id", head["warc-record-id"]), kind, head.get("x-page"), head.get("warc-refers-to"), sha if found is None else None,
                             number, None if total is None else int(total), block if number else None, size, found,
                         )
                     )
@@ -267,7 +269,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 )
 
     schema = "name string, kind string, page string, refers string, sha string, number int, total bigint, block binary, size bigint, found string"
-    # parsed once; blocks are held for segmented records alone
+    # parsed once; blocks are held for segmented records alone, digests once
     parts = cut(archives.select("path").mapInPandas(split, schema))
 
     @F.pandas_udf("struct<size: bigint, found: string>")

@@ -254,3 +254,12 @@ def test_token_ids_of_many_distinct_words(spark):
     e.known, e.pieces = {}, type("Counted", (), {"encode_batch_fast": lambda _, t, **k: calls.append(len(t)) or library.encode_batch_fast(t, **k)})()
     assert [x.tolist() for x in e.encode(texts)] == want and 0 < sum(calls) < 10
     assert list(tokenfile.spans(["a" * tokenfile.AT_ONCE, None, "b", "c"])) == [(0, 1), (1, 4)] and list(tokenfile.spans([])) == []
+
+
+def test_archives_store_what_follows_from_other_columns_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(warc, "cut", lambda df, keep=warc.cut: stored.append(df.columns) or keep(df))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (2, "u", "a"), (None, None, None), (4, "v", "b" * 40000)], "page_id bigint, url string, html string")
+    got = sorted(map(str, ((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())))
+    assert got == sorted(map(str, [(1, 1, "revisit", 2), (2, 1, "response", None), (2, 1, "revisit", 2), (None, 0, "response", None), (4, 40000, "response", None)]))
+    assert sorted(stored[0]) == ["copy", "digest", "n", "page_id", "url"]
