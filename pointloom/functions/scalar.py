@@ -217,15 +217,32 @@ def dilog(x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: B_2k / (2 k + 1)!: Li2(1 - e^-t) = t - t^2 / 4 + the sum of these times t^(2 k + 1).
+_BERNOULLI = [b / math.factorial(2 * k + 3) for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6, -3617 / 510, 43867 / 798, -174611 / 330))]
+
+
+def _dilog_of_log(t: np.ndarray) -> np.ndarray:
+    """Li2(1 - e^-t) for t in [0, ln 2]."""
+    t2, s = t * t, np.zeros_like(t)
+    for c in reversed(_BERNOULLI):
+        s = s * t2 + c
+    return t * (1 - t / 4 + t2 * s)
+
+
 def inv_dilog(y: np.ndarray) -> np.ndarray:
-    """The x in [0, 1] with Li2(x) = y, by bisection and Newton steps."""
+    """The x in [0, 1] with Li2(x) = y: a table's guess and two Newton steps, whose
+    derivative is -ln(1 - x) / x. Each reads two logarithms and a short series."""
     y = np.clip(np.asarray(y, float), 0, math.pi**2 / 6)
-    lo, hi = np.zeros_like(y), np.ones_like(y)
-    for _ in range(60):
-        m = (lo + hi) / 2
-        up = dilog(m) < y
-        lo, hi = np.where(up, m, lo), np.where(up, hi, m)
-    return (lo + hi) / 2
+    at = -np.expm1(-np.linspace(0, 40, 4001))
+    x = np.interp(y, dilog(at), at)
+    tiny = np.finfo(float).tiny
+    for _ in range(2):
+        x = np.clip(x, tiny, 1 - 2.0**-53)
+        log, rest = -np.log(x), -np.log1p(-x)
+        high = x > 0.5
+        s = _dilog_of_log(np.where(high, log, rest))
+        x = x - (np.where(high, math.pi**2 / 6 - log * rest - s, s) - y) * x / rest
+    return np.where(y <= 0, 0.0, np.clip(x, 0, 1))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -301,10 +318,11 @@ def view_conditioned_keep(count, area, opacity, spp: float, density: float) -> C
     return F.when(_c(count) > 0.5, clamp(target / _c(count))).otherwise(0.0)
 
 
-def sample_corrected_radius(opacity: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The radius below which a share u of a splat's corrected points lies."""
+def sample_corrected_radius(opacity: np.ndarray, u: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """The radius below which a share u of a splat's corrected points lies. ``whole``:
+    the opacities' dilogarithms, if they are known."""
     o, u = np.clip(opacity, 0, 1), np.clip(u, 0, 1)
-    y = np.minimum(inv_dilog((1 - u) * dilog(o)), o)
+    y = np.minimum(inv_dilog((1 - u) * (dilog(o) if whole is None else whole)), o)
     with np.errstate(divide="ignore", invalid="ignore"):
         r = np.sqrt(np.maximum(0, -2 * np.log(y / o)))
     return np.where(o <= 0, 0.0, np.where(y <= 0, 40.0, r))

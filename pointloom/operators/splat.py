@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rng import normal, poisson, uniform
-from ..functions.scalar import calibrated_count, covariance_3d, eval_sh, expected_point_count, footprint_area, quat_to_rotation, rotation_rows, sample_corrected_radius, sh_dc_to_color, sigmoid, turned_squares, unit_quaternion
+from ..functions.scalar import calibrated_count, covariance_3d, dilog, eval_sh, expected_point_count, footprint_area, quat_to_rotation, rotation_rows, sample_corrected_radius, sh_dc_to_color, sigmoid, turned_squares, unit_quaternion
 
 NEAR = 1e-4
 LOW_PASS = 0.3
+#: Points that a task throws, and subpixels it holds, at a time.
+THROWN = 1 << 20
 
 
 def present(splats: DataFrame, size_scale: float = 100.0) -> DataFrame:
@@ -125,36 +127,59 @@ def render_monte_carlo(splats: DataFrame, view, focal: float, width: int, height
                        background=(0.0, 0.0, 0.0)) -> DataFrame:
     """Points in place of splats: each splat throws a Poisson number of points over
     its footprint for each set, a subpixel keeps its nearest, and pixels average
-    subpixels and sets. One explode and one min_by aggregate, no sort."""
+    subpixels and sets. Tasks throw some ``THROWN`` points at a time and hand on the nearest
+    of each subpixel they hit, so rows grow with the tasks' subpixels, not with points."""
     p = project(splats, view, focal, width, height)
     det = F.sqrt(F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy"))
     p = p.withColumn("lam", expected_point_count("alpha", 2 * math.pi * det) * float(spp * spp))
     p = p.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    where = ["set", "px", "py", "sub"]
+
+    def nearest(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).sort_values(["depth", "id"], kind="stable").drop_duplicates(where)
+
+    def hits(df: pd.DataFrame):
+        df = df.sort_values(["depth", "id"], kind="stable")
+        set_, lam, alpha, cx, cy, sxx, sxy, syy = (df[c].to_numpy() for c in ("set", "lam", "alpha", "cx", "cy", "sxx", "sxy", "syy"))
+        key = (df["id"].to_numpy(np.uint64) * np.uint64(1_000_003) + set_.astype(np.uint64)) * np.uint64(4096)
+        n = poisson(lam, seed, key)
+        whole = dilog(np.clip(alpha, 0, 1))
+        l11 = np.sqrt(sxx)
+        l21 = sxy / l11
+        l22 = np.sqrt(np.maximum(0, syy - l21 * l21))
+        ends = np.cumsum(n)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, THROWN):
+            first, last = np.clip(ends - n, lo, lo + THROWN), np.clip(ends, lo, lo + THROWN)
+            row = np.repeat(np.arange(len(n)), last - first)
+            i = key[row] + (lo + np.arange(len(row)) - (ends - n)[row]).astype(np.uint64)
+            r = sample_corrected_radius(alpha[row], uniform(seed + 1, i), whole[row])
+            t = 2 * math.pi * uniform(seed + 2, i)
+            x = cx[row] + l11[row] * r * np.cos(t)
+            y = cy[row] + l21[row] * r * np.cos(t) + l22[row] * r * np.sin(t)
+            px, py = np.floor(x), np.floor(y)
+            sub = np.minimum(spp - 1, np.floor((x - px) * spp)) + spp * np.minimum(spp - 1, np.floor((y - py) * spp))
+            ok = (px >= 0) & (px < width) & (py >= 0) & (py < height)
+            row, px, py, sub = row[ok], *(v[ok].astype(np.int32) for v in (px, py, sub))
+            place = ((set_[row] * np.int64(height) + py) * width + px) * (spp * spp) + sub
+            new = ~pd.Series(place).duplicated().to_numpy()  # rows go by depth, so the first is the nearest
+            row = row[new]
+            yield pd.DataFrame({"set": set_[row], "px": px[new], "py": py[new], "sub": sub[new]}).assign(**{c: df[c].to_numpy()[row] for c in ("depth", "id", "r", "g", "b")})
 
-    @F.pandas_udf("array<struct<px: int, py: int, sub: int>>")
-    def throw(ids: pd.Series, set_: pd.Series, lam: pd.Series, alpha: pd.Series, cx: pd.Series, cy: pd.Series, sxx: pd.Series, sxy: pd.Series, syy: pd.Series) -> pd.Series:
-        key = (ids.to_numpy(np.uint64) * np.uint64(1_000_003) + set_.to_numpy(np.uint64)) * np.uint64(4096)
-        n = poisson(lam.to_numpy(), seed, key)
-        row = np.repeat(np.arange(len(n)), n)
-        first = np.repeat(np.cumsum(n) - n, n)
-        i = key[row] + (np.arange(len(row)) - first).astype(np.uint64)
-        r = sample_corrected_radius(alpha.to_numpy()[row], uniform(seed + 1, i))
-        t = 2 * math.pi * uniform(seed + 2, i)
-        l11 = np.sqrt(sxx.to_numpy())
-        l21 = sxy.to_numpy() / l11
-        l22 = np.sqrt(np.maximum(0, syy.to_numpy() - l21 * l21))
-        x = cx.to_numpy()[row] + l11[row] * r * np.cos(t)
-        y = cy.to_numpy()[row] + l21[row] * r * np.cos(t) + l22[row] * r * np.sin(t)
-        px, py = np.floor(x), np.floor(y)
-        sub = np.minimum(spp - 1, np.floor((x - px) * spp)) + spp * np.minimum(spp - 1, np.floor((y - py) * spp))
-        ok = (px >= 0) & (px < width) & (py >= 0) & (py < height)
-        out: list[list[dict]] = [[] for _ in n]
-        for k, u, v, w in zip(row[ok].tolist(), px[ok].astype(int).tolist(), py[ok].astype(int).tolist(), sub[ok].astype(int).tolist(), strict=True):
-            out[k].append({"px": u, "py": v, "sub": w})
-        return pd.Series(out)
-
-    hit = p.withColumn("h", F.explode(throw("id", "set", "lam", "alpha", "cx", "cy", "sxx", "sxy", "syy")))
-    near = hit.groupBy("set", "h.px", "h.py", "h.sub").agg(F.min_by(F.struct("r", "g", "b"), F.struct("depth", "id")).alias("c"))
+    def throw(batches):
+        parts: list[pd.DataFrame] = []
+        for df in batches:
+            for part in hits(df):
+                parts.append(part)
+                if sum(map(len, parts)) > THROWN:
+                    parts = [nearest(parts)]
+                    if len(parts[0]) > THROWN // 2:
+                        yield parts.pop()
+        if parts:
+            yield nearest(parts)
+
+    rows = p.select("id", "set", "lam", "alpha", "cx", "cy", "sxx", "sxy", "syy", "depth", "r", "g", "b")
+    hit = rows.mapInPandas(throw, "set int, px int, py int, sub int, depth double, id bigint, r double, g double, b double")
+    near = hit.groupBy(*where).agg(F.min_by(F.struct("r", "g", "b"), F.struct("depth", "id")).alias("c"))
     total = float(sets * spp * spp)
     pixels = near.groupBy("px", "py").agg(*[(F.sum(f"c.{k}") / total).alias(k) for k in "rgb"], (F.count(F.lit(1)) / total).alias("coverage"))
     return full_image(splats.sparkSession, pixels, width, height, background)

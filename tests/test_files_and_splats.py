@@ -117,6 +117,25 @@ def test_monte_carlo_nears_the_analytic_image(spark):
     assert splat.psnr(a, a).first()["psnr"] == 120
 
 
+def test_inverse_dilogarithm_reads_few_series(monkeypatch):
+    x = np.concatenate([np.linspace(0, 1, 20001), 10.0 ** -np.arange(1, 9), 1 - 10.0 ** -np.arange(1, 13)])
+    y, seen, dilog = scalar.dilog(x), [], scalar.dilog
+    monkeypatch.setattr(scalar, "dilog", lambda v: seen.append(np.size(v)) or dilog(v))
+    got = scalar.inv_dilog(y)
+    assert np.allclose(got, x, rtol=1e-12, atol=1e-15) and (got[0], got[20000]) == (0, 1)
+    assert sum(seen) < len(x)  # once 60 times as many
+
+
+def test_monte_carlo_in_pieces(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, *map(float, r.normal(0, 0.2, 2)), float(2 + i % 3), r.normal(0, 1, 3).tolist(), 0.5, [-2.0] * 3, [1.0, 0.0, 0.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, z double, f_dc array<double>, opacity double, scale array<double>, rot array<double>")
+    image = lambda: [tuple(p) for p in splat.render_monte_carlo(df, VIEW, 60.0, 16, 16, sets=3).orderBy("px", "py").collect()]
+    whole = image()
+    monkeypatch.setattr(splat, "THROWN", 37)
+    assert np.allclose(image(), whole, atol=1e-12) and sum(p[2] for p in whole) > 0
+
+
 def test_lod_controller():
     c = LodController()
     assert [c.step(True, 10), c.step(False, 60), c.step(False, 60)] == [MOVING, SETTLING, REFINING]
