@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import kabsch, rodrigues
 from ..functions.rng import uniform
+from ..plans.filestore import read_bytes, write_bytes
+from ..plans.materialize import cut, shared_dir
 from ..plans.neighbors import knn_pairs
 from .filters import transform
 
@@ -128,40 +130,89 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, iterations: int = 5
     return best
 
 
-#: Histograms in a block of either side.
-BLOCK = 1000
+#: Histograms compared at a time: of the source, of the target, and in a file of the target.
+STRIPE, BLOCK, FILE = 4000, 1000, 16_000
+
+
+def _by_norm(df: DataFrame) -> DataFrame:
+    """(id, histogram, norm) in ranges of norms, each range in order."""
+    norm = F.sqrt(F.aggregate("histogram", F.lit(0.0), lambda a, x: a + x * x))
+    df = cut(df.select("id", "histogram", norm.alias("norm")).where(F.col("norm") < float("inf")))
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(parts, "norm").sortWithinPartitions("norm")
+
+
+def _stripes(batches, size: int):
+    """(ids, histograms) of ``size`` rows, fewer at the end."""
+    held, n = [], 0
+    for df in batches:
+        for lo in range(0, len(df), size):
+            part = df.iloc[lo : lo + size]
+            if n + len(part) > size:
+                yield np.concatenate([p["id"] for p in held]), np.stack([h for p in held for h in p["histogram"]])
+                held, n = [], 0
+            held.append(part)
+            n += len(part)
+    if n:
+        yield np.concatenate([p["id"] for p in held]), np.stack([h for p in held for h in p["histogram"]])
 
 
 def feature_matches(source: DataFrame, target: DataFrame) -> DataFrame:
     """``(id, nid, d2)``: the target histogram nearest to each source histogram, the
-    lower id on ties. All pairs of blocks are compared, some 1,000 histograms to a
-    block, by a matrix product; what comes within rounding of the least is measured
-    exactly, and the minimum combines over blocks. Neither side must fit in memory."""
+    lower id on ties. The target lies in files of the shared folder in the order of norms, which workers
+    read as they need them, so no pair of blocks is shuffled; a task compares some 4,000 with 1,000
+    histograms at a time by a matrix product, those of like norms first, and none whose norms alone
+    put them beyond the nearest so far. What comes within rounding of the least is measured
+    exactly. Histograms that aren't finite match nothing."""
+    import uuid
+
     import pandas as pd
+    from pyspark import TaskContext
+
+    folder = f"{shared_dir(source.sparkSession)}/features-{uuid.uuid4().hex}"
 
-    from ..plans.materialize import cut
+    def write(batches):
+        for k, (ids, h) in enumerate(_stripes(batches, FILE)):
+            path, norm = f"{folder}/{TaskContext.get().partitionId()}-{k}", np.sqrt((h * h).sum(1))
+            write_bytes(path, [np.ascontiguousarray(v).tobytes() for v in (ids.astype(np.int64), h.astype(np.float64))])
+            yield pd.DataFrame({"path": [path], "n": [len(h)], "lo": [norm.min()], "hi": [norm.max()]})
 
-    def blocks(df: DataFrame, i: str, h: str) -> DataFrame:
-        df = cut(df.select(F.col("id").alias("i"), "histogram"))  # counted and read again
-        n = max(1, -(-df.count() // BLOCK))
-        return df.groupBy(F.pmod(F.xxhash64("i"), F.lit(n)).alias("block")).agg(F.collect_list("i").alias(i), F.collect_list("histogram").alias(h)).drop("block")
+    files = [tuple(r) for r in _by_norm(target).mapInPandas(write, "path string, n bigint, lo double, hi double").collect()]  # one row a file
+    top = max((hi for *_, hi in files), default=0.0)
 
     def run(batches):
-        for df in batches:
-            for ids, hs, nids, gs in zip(df["ids"], df["hs"], df["nids"], df["gs"], strict=True):
-                a, b, ids, nids = np.stack(list(hs)), np.stack(list(gs)), np.asarray(ids), np.asarray(nids)
-                aa, bb = (a * a).sum(1), (b * b).sum(1)
-                d = aa[:, None] + bb[None, :] - 2 * a @ b.T
-                row, col = np.nonzero(d <= d.min(1)[:, None] + 1e-9 * (1 + aa[:, None] + bb.max()))
-                exact = ((a[row] - b[col]) ** 2).sum(1)
-                best = np.lexsort((nids[col], exact, row))
-                first = best[np.unique(row[best], return_index=True)[1]]
-                yield pd.DataFrame({"id": ids[row[first]], "nid": nids[col[first]], "d2": exact[first]})
-
-    pairs = blocks(source, "ids", "hs").crossJoin(blocks(target, "nids", "gs"))  # of blocks
-    spark = source.sparkSession
-    spread = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    met = spread.mapInPandas(run, "id bigint, nid bigint, d2 double")
+        for ids, a in _stripes(batches, STRIPE):
+            aa = (a * a).sum(1)
+            lo, hi, slack = np.sqrt(aa.min()), np.sqrt(aa.max()), 1e-9 * (1 + aa + top * top)
+            best, nid = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+            left = np.concatenate([-2 * a, np.ones((len(a), 1)), aa[:, None]], 1)
+            apart = lambda f: max(0.0, f[2] - hi, lo - f[3])  # noqa: E731, B023
+            for path, n, *ends in sorted(files, key=apart):
+                if apart((path, n, *ends)) ** 2 > (best + slack).max():
+                    break
+                data = read_bytes(path)
+                nids, g = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, offset=8 * n).reshape(n, -1)
+                gg = (g * g).sum(1)
+                for at in range(0, n, BLOCK):
+                    b, bb = g[at : at + BLOCK], gg[at : at + BLOCK]
+                    if max(0.0, np.sqrt(bb.min()) - hi, lo - np.sqrt(bb.max())) ** 2 > (best + slack).max():
+                        continue
+                    d = left @ np.concatenate([b, bb[:, None], np.ones((len(b), 1))], 1).T
+                    least = np.minimum(d.min(1), best)
+                    live = np.flatnonzero(d.min(1) <= least + slack)
+                    row, col = np.nonzero(d[live] <= (least + slack)[live, None])
+                    row = live[row]
+                    exact, found = ((a[row] - b[col]) ** 2).sum(1), nids[at + col]
+                    order = np.lexsort((found, exact, row))
+                    order = order[np.unique(row[order], return_index=True)[1]]
+                    row, exact, found = row[order], exact[order], found[order]
+                    new = (exact < best[row]) | ((exact == best[row]) & (found < nid[row]))
+                    best[row[new]], nid[row[new]] = exact[new], found[new]
+            met = np.isfinite(best)
+            yield pd.DataFrame({"id": ids[met], "nid": nid[met], "d2": best[met]})
+
+    met = _by_norm(source).mapInPandas(run, "id bigint, nid bigint, d2 double")
     return met.groupBy("id").agg(F.min(F.struct("d2", "nid")).alias("m")).select("id", "m.nid", F.col("m.d2").alias("d2"))
 
 
@@ -175,8 +226,6 @@ def global_registration(source: DataFrame, target: DataFrame, source_fpfh: DataF
     m = feature_matches(source_fpfh, target_fpfh)
     s = source.select("id", *[F.col(a).alias(f"s{a}") for a in "xyz"])
     t = target.select(F.col("id").alias("nid"), *[F.col(a).alias(f"t{a}") for a in "xyz"])
-    from ..plans.materialize import cut
-
     m = cut(m.join(s, "id").join(t, "nid"))
     got = m.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pool).collect()
     if len(got) < max(sample, 3):

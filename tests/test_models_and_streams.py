@@ -118,6 +118,23 @@ def test_feature_matches_prefer_the_exact_and_the_lower(spark):
     assert got == {i: (10 if i == 40 else i, 0.0) for i in range(60)}
 
 
+def test_feature_matches_by_files_shuffle_no_pairs_of_blocks(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    a, b = r.uniform(0, 1, (300, 33)) * r.uniform(0.1, 3, (300, 1)), r.uniform(0, 1, (250, 33)) * r.uniform(0.1, 3, (250, 1))
+    b[17], b[200], a[5] = b[80], a[9], b[80]
+    frame = lambda h, first: spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(h)], "id bigint, histogram array<double>")
+    for name, size in (("STRIPE", 23), ("BLOCK", 7), ("FILE", 31)):
+        monkeypatch.setattr(registration, name, size)
+    met = registration.feature_matches(frame(a, 0), frame(b, 1000))
+    plan = met._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Cartesian", "NestedLoop", "collect_list"))
+    got = {x.id: (x.nid, x.d2) for x in met.collect()}
+    d = ((a[:, None] - b[None]) ** 2).sum(2)
+    assert {i: n for i, (n, _) in got.items()} == {i: 1000 + int(d[i].argmin()) for i in range(300)} and got[5] == (1017, 0.0) and got[9] == (1200, 0.0)
+    assert np.allclose([got[i][1] for i in range(300)], d.min(1))
+    assert registration.feature_matches(frame(a, 0), frame(b[:0], 0)).count() == 0
+
+
 def test_region_growing_parts_two_planes(spark, make):
     flat = [(x * 0.1, y * 0.1, 0.0) for x in range(10) for y in range(10)]
     wall = [(2.0, y * 0.1, 1 + z * 0.1) for y in range(10) for z in range(10)]
