@@ -30,6 +30,19 @@ def test_knn_of_a_dense_cluster_with_a_far_point(spark, make):
         assert [n for _, n in sorted(near[i])] == np.lexsort((np.arange(len(d)), d))[:5].tolist()
 
 
+def test_knn_sorts_few_candidates(spark, make, monkeypatch):
+    """A round sorts what lies within a cube's width, and the first cubes hold few points."""
+    pts = np.random.default_rng(6).normal(0, 0.1, (6000, 3))
+    df, seen, cut = make(pts).cache(), [], neighbors.cut
+    monkeypatch.setattr(neighbors, "cut", lambda d: seen.append(d) or cut(d))
+    assert neighbors.knn(df, 20).count() == 6000 * 20
+    top = next(d for d in seen if "rank" in d.columns)
+    width = neighbors._start_width(df, np.prod(np.ptp(pts, 0) * 20 ** (1 / 3) / 6000 ** (1 / 3)) ** (1 / 3), 20)
+    c = neighbors.with_cells(df, width).groupBy("cx", "cy", "cz").count()
+    assert c.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] <= 2 * 20
+    assert top.agg(F.max("dist")).first()[0] < width
+
+
 def test_knn_of_copies(spark, make):
     monkey = make([(0, 0, 0)] * 200)
     assert neighbors._start_width(monkey, 1.0, 2) > 0
